@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from windrow.llm import quality, toxicity
+from windrow.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, packing, pii, quality, toxicity, warc
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_toxicity_ftrl": toxicity.op2_toxicity_ftrl,
+    "op3_warc_round_trip": warc.op3_warc_round_trip,
+    "op4_pii": pii.op4_pii,
+    "op5_html_main_text": html_extract.op5_html_main_text,
+    "op6_spaced_seed_decontamination": decontaminate.op6_spaced_seed_decontamination,
+    "op7_partenum_jaccard": jaccard_join.op7_partenum_jaccard,
+    "op8_collision_counting": embedding_dedup.op8_collision_counting,
     "op9_quality_qda": quality.op9_quality_qda,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": chat_format.OP1_SQL,
+    "op3_warc_round_trip": warc.OP3_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
