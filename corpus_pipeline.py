@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.llm import common, quality
+from windrow.llm import common, decontaminate, jaccard_join, packing, pii, quality
 
 STAGES = [
     ("quality", quality.quality_stage),
+    ("near_duplicates", jaccard_join.jaccard_stage),
+    ("decontamination", decontaminate.decontamination_stage),
+    ("pii", pii.pii_stage),
+    ("packing", packing.packing_stage),
 ]
 
+#: Model scores and token ids are beyond SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
