@@ -65,7 +65,7 @@ def winnow_positions(hashes: np.ndarray, window: int) -> np.ndarray:
         views = np.lib.stride_tricks.sliding_window_view(hashes[1:], window)
         far[: len(views)] = np.arange(1, len(views) + 1) + (window - 1 - np.argmin(views[:, ::-1], axis=1))
     near = np.full(n, -1, np.int64)  # first smaller within (p, p + window)
-    for step in range(window - 1, 0, -1):
+    for step in range(min(window, n) - 1, 0, -1):
         smaller = np.flatnonzero(hashes[step:] < hashes[: n - step])
         near[smaller] = smaller + step
     following = np.where(near >= 0, near, far).tolist()
