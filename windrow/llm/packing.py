@@ -14,18 +14,23 @@ Null and empty texts are the end id alone. Repeated rows are packed once each. E
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import read, slices, stored
 
-_CACHE_UNITS = 300_000
+_CACHE_UNITS = 150_000
+_SLICE = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -34,57 +39,103 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def _units(path: str) -> tuple[tiktoken.Encoding, dict[str, int], np.ndarray]:
+    """An encoder of plain text with the file's vocabulary, the ids of its special strings, and the bytes of each id."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    # Byte-level files write a byte as itself where it prints, else as the next character from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    sizes[list(ranks.values())] = [len(x) for x in ranks]
+    import public_tokenizers
+
+    return tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special, sizes
+
+
 class UnitEncoder:
     """Token ids by a byte-level BPE file, with a bounded cache of encoded words.
 
     The pre-tokenizer never joins across a space but for one space in front of a word, so a text's ids are those of its
-    space-led words; only where a space stands between two white-space characters is this not so, and such texts are
-    encoded whole.
+    space-led words. Only where a space stands between two white-space characters is this not so; such texts, and those
+    with one of the file's special strings, are encoded whole by the tokenizers library.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, end_id: int = 2):
+        self.path, self.end_id = path, end_id
+        units, self.special, self.sizes = _units(path)
+        self.encode_unit = units.encode_ordinary
+        self.whole = None
         self.reset()
 
     def reset(self) -> None:
         self.places: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.joins = np.zeros(1 << 14, bool)
-        self.used = 0
-
-    def _learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), 4096):
-            part = units[at : at + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                k, ids = len(self.places), found.ids
-                if k >= len(self.starts):
-                    self.starts, self.lengths, self.joins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.joins))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.places[unit] = k
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.joins[k] = len(unit) < 2 or unit[1].isspace() if unit[:1] == " " else False
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        self.starts, self.lengths, self.odd = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        self.used = self.count = 0
+        self.end = self._add([self.end_id], [1])
+
+    def _add(self, ids: np.ndarray | list[int], lengths: np.ndarray | list[int], odd: bool = False) -> int:
+        """Keeps the ids of some units, given their lengths; the first unit's place."""
+        k, n = self.count, len(lengths)
+        while k + n > len(self.starts):
+            self.starts, self.lengths, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.odd))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.lengths[k : k + n], self.odd[k : k + n] = lengths, odd
+        self.starts[k : k + n] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used, self.count = self.used + len(ids), k + n
+        return k
+
+    def _one(self, unit: str, odd: bool = False) -> int:
+        ids = self.encode_unit(unit)
+        return self._add(ids, [len(ids)], odd or any(x in unit for x in self.special))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes unknown space-led words as one text; where a word ends is seen from the bytes of its tokens."""
+        odd = [w for w in words if not w or w[0].isspace() or any(x in w for x in self.special)]
+        for w in odd:
+            self.places[w] = self._one(" " + w, True)
+        if odd:
+            words = [w for w in words if w not in self.places]
+        if not words:
+            return
+        ids = np.array(self.encode_unit(" " + " ".join(words)), np.uint32)
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        last = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+        first = self._add(ids, np.diff(last, prepend=0))
+        self.places.update(zip(words, range(first, first + len(words))))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.places) > _CACHE_UNITS:
+        """The ids of each text, with the end id."""
+        if self.count > _CACHE_UNITS:
             self.reset()
         parts = [t.split(" ") for t in texts]
-        units = [[w[0], *[" " + x for x in w[1:]]] for w in parts]
-        self._learn(list(set().union(*units).difference(self.places)) if units else [])
-        for text, own in zip(texts, units):
-            k = np.fromiter(map(self.places.__getitem__, own), np.int64, len(own))
-            if self.joins[k[1:]].any():
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            n = self.lengths[k]
-            ends = np.cumsum(n)
-            yield self.ids[np.repeat(self.starts[k] - (ends - n), n) + np.arange(ends[-1])]
+        self._learn(list(set().union(*parts).difference(self.places)))
+        counts = np.array([len(p) + 1 for p in parts], np.int64)
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        k = np.full(edges[-1], self.end, np.int64)
+        inner = np.ones(edges[-1], bool)
+        inner[edges[1:] - 1] = False
+        k[inner] = np.fromiter(map(self.places.__getitem__, chain.from_iterable(parts)), np.int64, edges[-1] - len(parts))
+        k[edges[:-1]] = [self._one(p[0]) for p in parts]
+        n = self.lengths[k]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.repeat(self.starts[k] - ends[:-1], n) + np.arange(ends[-1])]
+        odd = np.logical_or.reduceat(self.odd[k], edges[:-1])
+        for row, text in enumerate(texts):
+            yield self._whole(text) if odd[row] else ids[ends[edges[row]] : ends[edges[row + 1]]]
+
+    def _whole(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array([*self.whole.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -102,11 +153,11 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str | None =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(path)
-        for part in slices(batches, "text"):
+        encoder = UnitEncoder(path, end_id)
+        for part in slices(batches, "text", _SLICE):
             rows, out = [], []
             for row, ids in enumerate(encoder.encode([x or "" for x in part.column("text").to_pylist()])):
-                whole = np.append(ids, np.uint32(end_id)).astype("<u4")
+                whole = ids.astype("<u4", copy=False)
                 for k, (start, n) in enumerate(cut(len(whole), capacity)):
                     rows.append(row)
                     out.append((k, start, n, zlib.crc32(whole[start : start + n].tobytes())))
