@@ -1,0 +1,59 @@
+import pytest
+
+from windrow.llm import html_extract as H
+
+LONG = "This is a paragraph of the article with quite a few words in it, so that it counts as text. " * 3
+ARTICLE = f"<h1>Title &amp; more</h1><p>{LONG}</p><p>Short.</p><p>Second   line\n of &eacute;t&#233; <b>bold</b><br>next</p><ul><li>One item</li><li>Two</ul><p>{LONG}</p>"
+WANT = "\n\n".join(["Title & more", LONG.strip(), "Short.", "Second line of été bold next", "One item", "Two", LONG.strip()])
+NAV = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+FOOT = f"<footer>&copy; someone {LONG}</footer>"
+AROUND = f"""<aside>{LONG}</aside><div class="ad">{LONG}</div><div id="cookie-notice"><p>{LONG}</p></div><form><p>{LONG}</p><input></form>
+<section class="comments"><article class="comment"><p>{LONG}</p></article></section><div class="sidebar"><p>{LONG}</p></div><script>var t = "</p><p>no</p>";</script><style>p{{}}</style><!-- <p>no</p> -->"""
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8><style>p{{margin:0}}</style></head><body class='has-sidebar'>{body}</body></html>"
+
+
+@pytest.mark.parametrize("body", [
+    f"<header><h1>Site</h1>{NAV}</header><article>{ARTICLE}</article>{AROUND}{FOOT}",
+    f"{NAV}<main><article class='post'>{ARTICLE}</article>{AROUND}</main>{FOOT}",
+    f"{NAV}<main>{ARTICLE}</main>{AROUND}{FOOT}",
+    f"<div id='wrap'>{NAV}<div class='story'>{ARTICLE}</div>{AROUND}{FOOT}</div>",
+    f"{NAV}<article>{ARTICLE}",
+    f"<article>{ARTICLE}<div class='share'>Share this {LONG}</div></article>{FOOT}",
+])
+def test_article_only(body):
+    assert H.main_text(page(body)) == WANT
+
+
+def test_open_paragraphs_and_cut_pages():
+    html = f"<html><body>{NAV}<div class=\"ad\">Buy. {LONG}</div><article><h1>A</h1><p><b>A.<br><p>Tiny.</p><p>{LONG}</p></article><footer>x</footer>"
+    assert H.main_text(html) == "\n\n".join(["A", "A.", "Tiny.", LONG.strip()])
+
+
+@pytest.mark.parametrize("html", ["", "<", "<p", "<html></html>", "<!-- never closed", "<script>var x = 1;", f"<nav>{LONG}</nav>", "&", "<p>&nbsp; \n</p>"])
+def test_pages_without_text(html):
+    assert H.main_text(html) in ("", "<", "&", "<p")
+
+
+def test_short_and_plain_pages():
+    assert H.main_text("<html><body><article><p>Hi.</p></article></body></html>") == "Hi."
+    assert H.main_text("just words") == "just words"
+    assert H.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_ratio_smoothing_is_a_gaussian_mean():
+    import numpy as np
+
+    lines = [("x" * n, 1, 0, False, ()) for n in (10, 0, 0, 50, 3)]
+    w = np.exp(-0.5 * (np.subtract.outer(np.arange(5), np.arange(5)) / 1.0) ** 2) * (np.abs(np.subtract.outer(np.arange(5), np.arange(5))) <= 3)
+    assert np.allclose(H.ratios(lines, 1.0), w @ [10, 0, 0, 50, 3] / w.sum(axis=1))
+
+
+def test_table(spark):
+    rows = [(1, "u", page(f"<article>{ARTICLE}</article>"), "e"), (1, "u", page(f"<article>{ARTICLE}</article>"), "e"), (2, None, None, "e"), (3, "u", "", None), (None, "u", "<p>" + "word " * 100_000, "e")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = H.extract_main_text(df).select("page_id", "text").collect()
+    assert sorted((r.page_id or 0, len(r.text)) for r in got) == [(0, 499_999), (1, len(WANT)), (1, len(WANT)), (2, 0), (3, 0)]
+    assert H.extract_main_text(df.limit(0)).count() == 0

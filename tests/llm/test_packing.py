@@ -1,0 +1,74 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from windrow.llm import packing as P
+
+TOKENIZER = Tokenizer.from_file(P.default_vocabulary())
+ENCODER = P.UnitEncoder(P.default_vocabulary())
+ODD = ["", " ", "  ", "   ", "a  b", "a   b", "x\n  y", "x \n y", "it's  \t ok", "a b  c", "<|endoftext|> hi", "x<|endoftext|>", "\n\n a", "a \n", "a ", "é漢🎉 x", "\x1c a \x1c b", "don't 'S 've 12 3a -- _x_"]
+
+
+def ids(text):
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.sampled_from(ODD), st.text(alphabet=list(" \n\ta.'1é🎉 \x1c <|>"), max_size=20), st.text(max_size=20)))
+def test_ids_are_the_tokenizers(text):
+    assert next(ENCODER.encode([text])).tolist() == ids(text)
+
+
+def test_a_full_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(P, "_CACHE_UNITS", 3)
+    e = P.UnitEncoder(P.default_vocabulary())
+    for text in ODD * 2:
+        assert next(e.encode([text])).tolist() == ids(text)
+
+
+@pytest.mark.parametrize("n", [1, 5, 1023, 1024, 1025, 2048, 5000])
+def test_cuts(n):
+    got = list(P.cut(n, 1024))
+    assert sum(k for _, k in got) == n and [s for s, _ in got] == np.cumsum([0, *[k for _, k in got][:-1]]).tolist()
+    assert all(k == 1024 for _, k in got[1:])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12), st.sampled_from(["norm", "dot"]), st.sampled_from([(64, 64, 4096), (64, 3, 4096), (64, 64, 3000)]))
+def test_plan_places_every_piece_within_capacities(counts, by, limits):
+    tokens, documents, attention = limits
+    counts = {k: v for k, v in counts.items() if k * k <= attention}
+    runs = P.plan(counts, P.Capacities(tokens, documents, attention, by=by))
+    held, placed = {}, {}
+    for length, rank, n, each, first, offset in runs.tolist():
+        assert placed.get(length, 0) == rank
+        placed[length] = rank + n
+        for j in range(n):
+            held.setdefault(first + j // each, []).append((offset + (j % each) * length, length))
+    assert placed == counts
+    for parts in held.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *[k for _, k in parts][:-1]]).tolist()
+        assert sum(k for _, k in parts) <= tokens and len(parts) <= documents and sum(k * k for _, k in parts) <= attention
+    if documents >= 64 and attention == 4096:
+        total = sum(k * v for k, v in counts.items())
+        assert len(held) <= 11 / 9 * max(-(-total // tokens), 1) + sum(v for k, v in counts.items() if 2 * k > tokens) + 1
+
+
+def test_table(spark):
+    rows = [(i, "word%d " % (i % 7) * (i * 37 % 900), "x") for i in range(60)] + [(5, "again", "x"), (5, "again", "x"), (None, "no id", "x"), (70, None, None), (71, "", "x"), (72, "long " * 60_000, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length string")
+    pieces = P.stored(P.token_pieces(df), "test")
+    got = P.pack(pieces, rows_per_bucket=10).collect()
+    want = sorted((i or -1, k, s, n, zlib.crc32(np.array(ids(t)[s : s + n], "<u4").tobytes())) for i, t, _ in rows for k, (s, n) in enumerate(P.cut(len(ids(t)), 1024)))
+    assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends.get(r.sequence_id, 0) == r.offset
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024 and len(ends) <= 1.02 * sum(ends.values()) / 1024 + 1
+    assert P.pack(P.stored(P.token_pieces(df.limit(0)), "test")).count() == 0

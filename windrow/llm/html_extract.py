@@ -134,6 +134,11 @@ class _Lines(HTMLParser):
                 if self.open[k][0] in _WHOLE and tag not in _WHOLE:
                     break
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment that never ends takes the rest of the page."""
+        end = super().parse_comment(i, report)
+        return end if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] in ("script", "style"):
             return
