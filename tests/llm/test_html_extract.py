@@ -8,7 +8,7 @@ WANT = "\n\n".join(["Title & more", LONG.strip(), "Short.", "Second line of ét
 NAV = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
 FOOT = f"<footer>&copy; someone {LONG}</footer>"
 AROUND = f"""<aside>{LONG}</aside><div class="ad">{LONG}</div><div id="cookie-notice"><p>{LONG}</p></div><form><p>{LONG}</p><input></form>
-<section class="comments"><article class="comment"><p>{LONG}</p></article></section><div class="sidebar"><p>{LONG}</p></div><script>var t = "</p><p>no</p>";</script><style>p{{}}</style><!-- <p>no</p> -->"""
+<section class="comments"><article class="comment"><p>{LONG}</p></article></section><div class="sidebar"><p>{LONG}</p></div><p class="advert">{LONG}</p><script>var t = "</p><p>no</p>";</script><style>p{{}}</style><!-- <p>no</p> -->"""
 
 
 def page(body):

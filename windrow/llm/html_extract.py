@@ -66,13 +66,13 @@ class _Lines(HTMLParser):
         self.kinds: dict[int, str] = {}
         self.text: list[str] = []
         self.tags = self.links = self.inside_link = self.made = 0
-        self.out = False
+        self.out = self.drop = False  # inside boilerplate; inside a boilerplate paragraph
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.links, self.out, self.path))
+                self.lines.append((text, max(1, self.tags), self.links, self.out or self.drop, self.path))
             self.text = []
         self.tags = self.links = 0
 
@@ -86,7 +86,7 @@ class _Lines(HTMLParser):
             self.inside_link = 1
         if tag in ("script", "style"):
             self.push(tag, True)
-        elif tag in _HOLDS:
+        elif tag in _HOLDS or tag in _BREAKS:
             given = {k: v or "" for k, v in attrs}
             out = tag in _OUT_TAGS or given.get("role", "").lower() in _OUT_ROLES or "hidden" in given
             if tag == "header" and not any(t == "article" for t, _, _ in self.open):
@@ -94,7 +94,9 @@ class _Lines(HTMLParser):
             if tag not in ("html", "body", "main"):
                 names = f"{given.get('class', '')} {given.get('id', '')}"
                 out = out or (names != " " and _names_out(names))
-            self.push(tag, out)
+            self.drop = out and tag not in _HOLDS
+            if tag in _HOLDS:
+                self.push(tag, out)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,6 +125,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _BREAKS or tag in _HOLDS:
             self.flush()
+            self.drop = False
         self.tags += 1
         if tag == "a":
             self.inside_link = 0
