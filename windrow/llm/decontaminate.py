@@ -7,13 +7,14 @@ lets through and the words around them. Those few are joined with the seed table
 verified word by word: an item is found where at least `similarity` of its words stand in the text, in place, counting
 at most `reach` words on either side of the hit for items longer than that.
 
-Items with fewer than `min_words` words are never found (five by default); shorter items than the masks get a seed of
-their own whole length. Null and empty texts have no hits. Repeated rows of a document give one row with their id;
+Items of 16 words or more have masks of weight 7, those of 10 to 15 words masks of weight 5, and shorter ones every mask
+of their own length that ignores one word. Items with fewer than `min_words` words (five by default) are never found. Null and empty texts have no hits. Repeated rows of a document give one row with their id;
 rows with a null doc_id are reported together under null. Repeated items are reported each.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +24,32 @@ from pyspark.sql import functions as F
 
 from windrow.llm.common import mix, read, slices, stored, text_buffers, word_hashes
 
-#: Weight-5 masks of different shapes; any run of five intact words is found as well.
-MASKS = ("11111", "1101011", "11100011", "110010101", "1010110001")
+#: Masks for items of at least this many words. Those of weight 7 find any seven intact words and 97 % and more of
+#: items of which a fifth of the words was replaced at random.
+MASKS = {16: ("1111111", "110110111", "1101011011", "11100101101", "101001101011"), 10: ("11111", "1101011", "11100011", "110010101", "1010110001")}
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FACTOR = [np.uint64(pow(0xA0761D6478BD642F, i + 1, 1 << 64)) for i in range(64)]
 
 
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words."""
+    for least, masks in MASKS.items():
+        if n >= least:
+            return masks
+    return tuple("1" * i + "0" + "1" * (n - 1 - i) for i in range(n))
+
+
 def seeds(words: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray]]:
     """For each mask that fits: its span, and the hash at every position."""
-    for m, mask in enumerate(masks):
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n > 0:
             total = np.zeros(n, np.uint64)
             for at, c in enumerate(mask):
                 if c == "1":
                     total += words[at : at + n] * _FACTOR[at]
-            yield len(mask), mix(total, m + 11 if m < len(MASKS) else 1000 + len(mask))
+            yield len(mask), mix(total, zlib.crc32(mask.encode()))
 
 
 def _bits(hashes: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +68,7 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words array<long>")
 
 
-def item_seeds(words: DataFrame, masks: tuple[str, ...], min_words: int) -> DataFrame:
+def item_seeds(words: DataFrame, min_words: int) -> DataFrame:
     """(seed, item_id, item_pos) of (item_id, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +76,7 @@ def item_seeds(words: DataFrame, masks: tuple[str, ...], min_words: int) -> Data
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(own) < min_words:
                     continue
-                found = [h for _, h in seeds(np.array(own, np.int64).view(np.uint64), masks)]
+                found = [h for _, h in seeds(np.array(own, np.int64).view(np.uint64), masks_for(len(own)))]
                 at = np.concatenate([np.arange(len(h), dtype=np.int32) for h in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array([key] * len(at), pa.int64()), pa.array(at)], ["seed", "item_id", "item_pos"])
 
@@ -92,7 +102,7 @@ def bloom(seed_table: DataFrame, n: int, max_log2: int = 27) -> tuple[np.ndarray
 
 def segments(docs: DataFrame, filter_bits, log2: int, masks: tuple[str, ...], reach: int) -> DataFrame:
     """(doc_id, words, hits array<struct<seed, pos>>): stretches of texts with possible hits, and reach words around them."""
-    span = max(map(len, masks))
+    span = max(map(len, masks), default=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = filter_bits.value
@@ -135,15 +145,14 @@ def segments(docs: DataFrame, filter_bits, log2: int, masks: tuple[str, ...], re
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_words: int = 5, reach: int = 64, masks: tuple[str, ...] = MASKS,
+    docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_words: int = 5, reach: int = 64,
 ) -> DataFrame:
     """One row a document and benchmark item found in it: doc_id, item_id, matched_words, item_words (those compared)."""
     spark = docs.sparkSession
     known = stored(item_words(items), "items")
-    shortest = min(map(len, masks))
-    short = {r.n for r in known.select(F.size("words").alias("n")).where(F.col("n").between(min_words, shortest - 1)).distinct().collect()}
-    masks = (*masks, *("1" * n for n in sorted(short)))
-    table = stored(item_seeds(known, masks, min_words), "seeds")
+    lengths = [r.n for r in known.select(F.least(F.size("words"), F.lit(max(MASKS))).alias("n")).where(F.col("n") >= min_words).distinct().collect()]
+    masks = tuple(sorted({m for n in lengths for m in masks_for(n)}))
+    table = stored(item_seeds(known, min_words), "seeds")
     whole, log2 = bloom(table, table.count())
     # A stretch is known by its document and words, so equal stretches of repeated rows are one.
     parts = stored(segments(docs, spark.sparkContext.broadcast(whole), log2, masks, reach).withColumn("segment", F.xxhash64("doc_id", "words")), "segments")
