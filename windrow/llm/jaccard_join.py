@@ -7,10 +7,12 @@ same or neighbouring bands; for each band pair the hashed element domain is cut
 set's signatures are the hashes of its elements in each part. Linked sets agree on more than `spare` parts, so they share
 a signature even when empty parts are left out (sets with more than `spare` empty parts keep those too). No link is lost.
 
-Signatures are shuffled once, each distinct set once a task. In every bucket of a signature the sets are compared with
-the bucket's smallest key, exactly; linked classes come from those links. Buckets that then still hold several classes
-are compared in full, in blocks of bounded size, skipping pairs within a class. So a group of thousands of copies or
-near copies costs one comparison a member, not all pairs.
+Signatures are shuffled once, each distinct set once a task. The sets of a bucket share its smallest key as a centre; each
+set is compared with the centres it shares most buckets with, exactly, and linked classes come from those links: groups
+of thousands of copies or near copies cost a few comparisons a member. Where a bucket then still holds several classes,
+no pair of them is left out: large buckets that overlap make a cluster, which is compared in blocks of bounded size
+(but for blocks of one and the same class), each giving links enough to join what is linked; pairs of small buckets that
+neither a centre nor a cluster covers are compared one by one, each once.
 
 Node keys and shingles are 64-bit hashes. Null and empty texts have no shingles and link with nothing. Repeated
 doc_ids get a row each. A null doc_id never is a component's name while another id is reachable.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import components, drop_stored, gram_hashes, mix, read, slices, stored, text_buffers, word_hashes
+from windrow.llm.common import components, drop_stored, gram_hashes, mix, read, release, slices, stored, text_buffers, word_hashes
 
 _SEEN = 500_000
 _ONE = np.uint64(1)
@@ -152,25 +154,28 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
-    """Links between sets of different classes within the same bucket, compared block against block.
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links between sets of different classes within the same cluster, compared block against block.
 
-    members: (bucket, key, class). Each bucket's members are numbered and cut into blocks; every pair of blocks is one
-    group of at most 2 * block sets, and gives at most 2 * block - 1 links: enough to join what is linked.
+    members: (cluster, key, class). Each cluster's members are numbered by class and cut into blocks; every pair of blocks
+    is one group of at most 2 * block sets, and gives at most 2 * block - 1 links: enough to join what is linked.
     """
-    numbered = members.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("class", "key")) - 1) / block).cast("int"))
-    n_blocks = numbered.groupBy("bucket").agg((F.max("block") + 1).alias("n"))
-    placed = numbered.join(n_blocks, "bucket").select(
-        "bucket", "key", "class", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    placed = placed.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "bucket", "key", "class", "block")
+    own = Window.partitionBy("cluster").orderBy("class", "key")
+    numbered = stored(members.select("cluster", "key", "class", F.floor((F.row_number().over(own) - 1) / block).cast("int").alias("block")), "numbered")
+    blocks = numbered.groupBy("cluster", "block").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    one = blocks.select("cluster", F.col("block").alias("low"), F.col("least").alias("low_least"), F.col("most").alias("low_most"))
+    two = blocks.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
+    same = (F.col("low_least") == F.col("low_most")) & (F.col("high_least") == F.col("high_most")) & (F.col("low_least") == F.col("high_least"))
+    meet = one.join(two, "cluster").where((F.col("low") <= F.col("high")) & ~same).select("cluster", "low", "high")
+    sides = meet.select("cluster", "low", "high", F.col("low").alias("block")).union(meet.where("low <> high").select("cluster", "low", "high", F.col("high").alias("block")))
+    placed = numbered.join(sides, ["cluster", "block"])
 
     def compare(table: pa.Table) -> pa.Table:
-        keys, classes = table.column("key").to_numpy(), table.column("class").to_numpy()
-        blocks, low = table.column("block").to_numpy(), table.column("low")[0].as_py()
-        high = table.column("high")[0].as_py()
+        keys, classes, blocks = (table.column(c).to_numpy() for c in ("key", "class", "block"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         elements = table.column("elements").combine_chunks()
         ends = elements.offsets.to_numpy()
-        values = elements.values.to_numpy()[ends[0] : ends[-1]]
+        values, ends = elements.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
         sizes = np.diff(ends)
         owner = np.repeat(np.arange(len(keys)), sizes)
         leader = {c: c for c in classes.tolist()}
@@ -183,12 +188,12 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
 
         order = np.argsort(values, kind="stable")
         sorted_values, sorted_owner = values[order], owner[order]
+        left = np.searchsorted(sorted_values, values, "left")
+        right = np.searchsorted(sorted_values, values, "right")
         links = []
         for i in np.flatnonzero(blocks == low):
-            own = np.sort(values[ends[i] - ends[0] : ends[i + 1] - ends[0]])
-            left, right = np.searchsorted(sorted_values, own, "left"), np.searchsorted(sorted_values, own, "right")
-            n = right - left
-            at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            begin, n = left[ends[i] : ends[i + 1]], right[ends[i] : ends[i + 1]] - left[ends[i] : ends[i + 1]]
+            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
             common = np.bincount(sorted_owner[at], minlength=len(keys))
             near = (100 * common >= percent * (sizes + sizes[i] - common)) & (blocks == high) & (classes != classes[i])
             for j in np.flatnonzero(near):
@@ -198,38 +203,65 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
                     links.append((int(keys[i]), int(keys[j])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return placed.join(sets, "key").groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return placed.join(sets, "key").groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 200_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (key, class) of all keys, after links (a, b) between keys."""
+    roots = links.join(classes.select(F.col("key").alias("a"), F.col("class").alias("class_a")), "a").join(classes.select(F.col("key").alias("b"), F.col("class").alias("class_b")), "b")
+    found = components(roots.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).withColumnRenamed("id", "class")
+    return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "classes")
+
+
+def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 200_000, small: int = 32, centres: int = 3) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
+
+    small: members up to which a bucket of several classes is compared pair by pair; centres: comparisons of a set
+    before classes are first formed. Neither changes the result.
+    """
+    spark = docs.sparkSession
     rows = stored(document_sets(docs, n), "sets")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     by_signature = Window.partitionBy("signature")
     shared = signature_rows(docs, n, percent).withColumn("centre", F.min("key").over(by_signature)).withColumn("last", F.max("key").over(by_signature)).where("centre <> last")
     buckets = stored(shared.select("signature", "key", "centre"), "buckets")
-    star = stored(buckets.where("key <> centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "star")
-    wanted = stored(nodes.join(star.select(F.col("a").alias("key")).union(star.select(F.col("b").alias("key"))).distinct(), "key").select("key", "doc_id"), "wanted")
+    release(spark)
+    often = buckets.where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
+    star = stored(often.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("rank") <= centres).select("a", "b"), "star")
+    wanted = stored(nodes.join(buckets.select("key").distinct(), "key").select("key", "doc_id"), "wanted")
     sets = stored(sets_of(docs, wanted, n, broadcast_rows), "elements")
     links = stored(linked_pairs(star, sets, percent), "links")
-    classes = stored(components(links), "classes")
-    placed = buckets.select("signature", "key").distinct().join(classes.withColumnRenamed("id", "key"), "key", "left").select(
-        "signature", "key", F.coalesce("component", "key").alias("class"))
+    release(spark)
+    classes = merged(wanted.select("key", F.col("key").alias("class")), links)
+
+    placed = buckets.select("signature", "key").distinct().join(classes, "key")
     # A bucket is known by its members, so the many signatures of the same few sets are one bucket.
     mixed = placed.groupBy("signature").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.min("class").alias("low"), F.max("class").alias("high"),
-    ).where("low <> high").groupBy("n", "h").agg(F.min("signature").alias("signature")).select("signature")
-    rest = stored(placed.join(mixed, "signature").select(F.col("signature").alias("bucket"), "key", "class"), "mixed")
-    more = stored(block_links(rest, sets, percent), "more")
-    if not more.isEmpty():
-        classes = stored(components(links.unionByName(more)), "classes")
-    top = nodes.join(classes.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
-    names = stored(top.where("component is not null").groupBy("root").agg(F.min("doc_id").alias("name")), "names")
-    known = stored(
-        top.where("component is null and copies > 1").select("key", F.col("doc_id").alias("name"))
-        .union(top.where("component is not null").join(names, "root").select("key", "name")), "known")
-    for table in (buckets, star, wanted, sets, links, rest, more, classes, names):
+    ).where("low <> high").groupBy("n", "h").agg(F.min("signature").alias("signature"))
+    rest = stored(placed.join(mixed, "signature").select(F.col("signature").alias("bucket"), "key", "n"), "mixed")
+    release(spark)
+    many = rest.where(F.col("n") > small)
+    chain = many.withColumn("first", F.min("key").over(Window.partitionBy("bucket"))).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    clusters = stored(components(chain).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "clusters")
+    more = stored(block_links(clusters.join(classes, "key"), sets, percent), "more")
+    release(spark)
+    classes = merged(classes, more)
+
+    few = rest.where(F.col("n") <= small).join(classes, "key").join(clusters, "key", "left").select("bucket", "key", "class", F.coalesce("cluster", "key").alias("cluster"))
+    one, two = ([F.col(c).alias(f"{c}_{side}") for c in ("key", "class", "cluster")] for side in ("a", "b"))
+    pairs = few.select("bucket", *one).join(few.select("bucket", *two), "bucket").where("key_a < key_b and class_a <> class_b and cluster_a <> cluster_b")
+    pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    last = stored(linked_pairs(pairs.join(star, ["a", "b"], "left_anti"), sets, percent), "last")
+    release(spark)
+    classes = merged(classes, last)
+
+    top = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
+    names = top.groupBy("root").agg(F.min("doc_id").alias("name"), F.sum("copies").alias("size")).where("size > 1")
+    known = stored(top.select("key", "root").join(names, "root").select("key", "name"), "known")
+    for table in (buckets, star, wanted, sets, links, rest, clusters, more, last, classes):
         drop_stored(table)
+    release(spark)
     return rows.join(known, "key", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 
 
