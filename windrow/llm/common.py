@@ -42,9 +42,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/windrow-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    rows: about how many there are, where that is known; a small table then gets few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // 200_000)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -207,8 +212,8 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     seen = digest(now)
     while seen[0]:
-        middle = stored(step(now, True), label)
-        after = stored(step(middle, False), label)
+        middle = stored(step(now, True), label, seen[0])
+        after = stored(step(middle, False), label, seen[0])
         drop_stored(middle)
         drop_stored(now)
         now, before = after, seen
