@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 
@@ -59,3 +60,11 @@ def test_stage_drops_what_is_found(spark, found, tmp_path):
         kept = D.decontamination_stage(spark, df, str(tmp_path), broadcast_rows=limit)
         assert kept.columns == df.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in df.collect() if r.doc_id not in bad)
+
+
+@pytest.mark.parametrize("change", [str, str.upper, str.title, lambda x: unicodedata.normalize("NFD", x), lambda x: unicodedata.normalize("NFD", x.upper())])
+def test_case_and_composition_do_not_matter(spark, change):
+    item = "été à la forêt où naît déjà l'élève zélé près du château brûlé straße größe öl übung ähre"
+    bench = spark.createDataFrame([(1, item), (2, change(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"voilà {change(item)} fin"), (2, f"voilà {item} fin")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched_words == r.item_words) for r in D.find_contamination(docs, bench).collect()} == {(d, i, True) for d in (1, 2) for i in (1, 2)}

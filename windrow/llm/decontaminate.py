@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters and digits, lower-cased. A mask such as 11011 hashes the words at its 1s and ignores those at
+Words are runs of letters and digits, case-folded by Unicode (so ß is ss) and in NFC. A mask such as 11011 hashes the words at its 1s and ignores those at
 its 0s, so a seed survives substitutions at ignored places. The seeds of all benchmark items form a table and a small
 Bloom filter; each task hashes every position of its whole texts under every mask, keeps positions that the filter
 lets through and the words around them. Those few are joined with the seed table, and each (place, item, alignment) is
@@ -14,6 +14,7 @@ rows with a null doc_id are reported together under null. Repeated items are rep
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +41,11 @@ def masks_for(n: int) -> tuple[str, ...]:
     return tuple("1" * i + "0" + "1" * (n - 1 - i) for i in range(n))
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """Texts without differences of case or composition."""
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x.casefold()) for x in column.to_pylist()], column.type)
+
+
 def seeds(words: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray]]:
     """For each mask that fits: its span, and the hash at every position."""
     for mask in masks:
@@ -62,7 +68,7 @@ def item_words(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            words, at = word_hashes(*text_buffers(part.column("text")), _KEEP)
+            words, at = word_hashes(*text_buffers(folded(part.column("text"))), _KEEP)
             yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(words.view(np.int64)))], ["item_id", "words"])
 
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words array<long>")
@@ -107,7 +113,7 @@ def segments(docs: DataFrame, filter_bits, log2: int, masks: tuple[str, ...], re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = filter_bits.value
         for part in slices(batches, "text"):
-            words, at = word_hashes(*text_buffers(part.column("text")), _KEEP)
+            words, at = word_hashes(*text_buffers(folded(part.column("text"))), _KEEP)
             row_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
             place, seed = [], []
             for width, h in seeds(words, masks):
