@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -68,3 +69,18 @@ def test_case_and_composition_do_not_matter(spark, change):
     bench = spark.createDataFrame([(1, item), (2, change(item))], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"voilà {change(item)} fin"), (2, f"voilà {item} fin")], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.matched_words == r.item_words) for r in D.find_contamination(docs, bench).collect()} == {(d, i, True) for d in (1, 2) for i in (1, 2)}
+
+
+@pytest.mark.parametrize("n", range(5, 25))
+def test_masks_hit_every_placement_of_a_fifth_replaced(n):
+    shapes = [int(mask[::-1], 2) << at for mask in D.masks_for(n) for at in range(n - len(mask) + 1)]
+    assert all(any(not shape & gone for shape in shapes) for gone in (sum(1 << p for p in c) for c in itertools.combinations(range(n), n // 5)))
+
+
+def test_every_placement_of_a_fifth_is_found(spark):
+    rng = random.Random(8)
+    items = [(n, text(rng, n)) for n in (10, 16)]
+    docs = [(n, " ".join("zzz" if p in c else w for p, w in enumerate(words))) for n, words in items for c in itertools.combinations(range(n), n // 5)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find_contamination(df, bench).collect()} >= {(k, n) for k, (n, _) in enumerate(docs)}

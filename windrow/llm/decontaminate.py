@@ -7,8 +7,8 @@ lets through and the words around them. Those few are joined with the seed table
 verified word by word: an item is found where at least `similarity` of its words stand in the text, in place, counting
 at most `reach` words on either side of the hit for items longer than that.
 
-Items of 16 words or more have masks of weight 7, those of 10 to 15 words masks of weight 5, and shorter ones every mask
-of their own length that ignores one word. Items with fewer than `min_words` words (five by default) are never found. Null and empty texts have no hits. Repeated rows of a document give one row with their id;
+Items of 10 words or more have masks of weight 5, shorter ones every mask of their own length that ignores one word.
+Wherever a fifth of an item's words was replaced, some mask still hits. Items with fewer than `min_words` words (five by default) are never found. Null and empty texts have no hits. Repeated rows of a document give one row with their id;
 rows with a null doc_id are reported together under null. Repeated items are reported each.
 """
 
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from windrow.llm.common import mix, read, slices, stored, text_buffers, word_hashes
 
-#: Masks for items of at least this many words. Those of weight 7 find any seven intact words and 97 % and more of
-#: items of which a fifth of the words was replaced at random.
-MASKS = {16: ("1111111", "110110111", "1101011011", "11100101101", "101001101011"), 10: ("11111", "1101011", "11100011", "110010101", "1010110001")}
+_FIVES = ("11111", "1101011", "11100011", "110010101", "1010110001")
+#: Masks for items of at least this many words. By enumeration of all placements one hits every item of 10 to 31 words of
+#: which a fifth was replaced; a longer item is a row of pieces of 16 to 31 words, one of which lost a fifth at most.
+MASKS = {11: _FIVES, 10: (*_FIVES, "110111")}
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FACTOR = [np.uint64(pow(0xA0761D6478BD642F, i + 1, 1 << 64)) for i in range(64)]
@@ -89,9 +90,12 @@ def item_seeds(words: DataFrame, min_words: int) -> DataFrame:
     return words.select("item_id", "words").mapInArrow(run, "seed long, item_id long, item_pos int").distinct()
 
 
-def bloom(seed_table: DataFrame, n: int, max_log2: int = 27) -> tuple[np.ndarray, int]:
-    """A bit set of at most 2^max_log2 bits (16 MB), from at most 8 partial sets; false positives only cost a join row."""
-    log2 = int(min(max_log2, max(16, np.ceil(np.log2(max(1, n) * 64)))))
+def bloom(seed_table: DataFrame, n: int, max_log2: int = 27, bits_each: int = 512) -> tuple[np.ndarray, int]:
+    """A bit set of at most 2^max_log2 bits (16 MB), from at most 8 partial sets.
+
+    False positives only cost a stored stretch and a join row: at 512 bits a seed there are about 15 in a million places.
+    """
+    log2 = int(min(max_log2, max(16, np.ceil(np.log2(max(1, n) * bits_each)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << log2, bool)
