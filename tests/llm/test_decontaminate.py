@@ -84,3 +84,19 @@ def test_every_placement_of_a_fifth_is_found(spark):
     df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
     bench = spark.createDataFrame([(n, " ".join(words)) for n, words in items], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.find_contamination(df, bench).collect()} >= {(k, n) for k, (n, _) in enumerate(docs)}
+
+
+def test_each_hit_of_a_long_item_is_judged_by_itself(spark):
+    rng = random.Random(9)
+    item = text(rng, 2000)
+    long = {n: text(rng, 300) + item[800 : 800 + n] + text(rng, 300) for n in (150, 300)}
+    stray = list(long[150])
+    stray[520:526] = item[1020:1026]  # the same alignment, further on
+    half = [w if p % 2 else "zzz" for p, w in enumerate(item)]
+    whole = text(rng, 100)
+    gap = [*whole[:36], *["zzz"] * 20, *whole[56:]]  # a fifth of the item, in the middle of every hit's window
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([long[150], long[300], stray, half, gap])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(whole))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.item_words) for r in D.find_contamination(df, bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2)}
+    assert got[0, 1] == got[1, 1] == got[2, 1] == (128, 128) and got[4, 2] == (80, 100)

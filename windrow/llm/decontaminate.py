@@ -5,7 +5,8 @@ its 0s, so a seed survives substitutions at ignored places. The seeds of all ben
 Bloom filter; each task hashes every position of its whole texts under every mask, keeps positions that the filter
 lets through and the words around them. Those few are joined with the seed table, and each (place, item, alignment) is
 verified word by word: an item is found where at least `similarity` of its words stand in the text, in place, counting
-at most `reach` words on either side of the hit for items longer than that.
+at most `reach` words on either side of a hit for items longer than that. Each hit is judged by itself and all hits of the
+alignment together, and the best of these counts.
 
 Items of 10 words or more have masks of weight 5, shorter ones every mask of their own length that ignores one word.
 Wherever a fifth of an item's words was replaced, some mask still hits. Items with fewer than `min_words` words (five by default) are never found. Null and empty texts have no hits. Repeated rows of a document give one row with their id;
@@ -168,25 +169,31 @@ def find_contamination(
     parts = stored(segments(docs, spark.sparkContext.broadcast(whole), log2, masks, reach).withColumn("segment", F.xxhash64("doc_id", "words")), "segments")
     hits = parts.select("segment", F.explode("hits").alias("hit")).select("segment", F.col("hit.seed").alias("seed"), F.col("hit.pos").alias("pos"))
     aligned = hits.join(table, "seed").select("segment", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
-    placed = aligned.groupBy("segment", "item_id", "shift").agg(F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
+    placed = aligned.groupBy("segment", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"))
     pairs = placed.join(parts.dropDuplicates(["segment"]).select("segment", "doc_id", "words"), "segment").join(known.withColumnRenamed("words", "item"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             text, item = batch.column("words"), batch.column("item")
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shift", "first", "last")]
-            for k, (doc, key, shift, first, last) in enumerate(zip(*columns)):
-                own, there = item[k].values.to_numpy(), text[k].values.to_numpy()
-                low, high = max(0, first - reach), min(len(own), last + reach)
-                begin, end = max(low, -shift), min(high, len(there) - shift)
-                same = int((own[begin:end] == there[begin + shift : end + shift]).sum()) if begin < end else 0
-                if same >= similarity * (high - low):
-                    out.append((doc, key, same, high - low))
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shift")]
+            for k, (doc, key, shift) in enumerate(zip(*columns)):
+                own, there, at = item[k].values.to_numpy(), text[k].values.to_numpy(), batch.column("at")[k].values.to_numpy()
+                begin, end = max(0, -shift), min(len(own), len(there) - shift)
+                sums = np.zeros(len(own) + 1, np.int64)
+                if begin < end:
+                    sums[begin + 1 : end + 1] = own[begin:end] == there[begin + shift : end + shift]
+                sums = np.cumsum(sums)
+                low = np.maximum(0, np.append(at, at.min()) - reach)
+                high = np.minimum(len(own), np.append(at, at.max()) + reach)
+                same, size = sums[high] - sums[low], high - low
+                best = np.lexsort((same, same / size))[-1]
+                if same[best] >= similarity * size[best]:
+                    out.append((doc, key, int(same[best]), int(size[best])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "matched_words", "item_words"])
 
-    found = pairs.select("doc_id", "item_id", "shift", "first", "last", "words", "item").mapInArrow(verify, "doc_id long, item_id long, matched_words long, item_words long")
+    found = pairs.select("doc_id", "item_id", "shift", "at", "words", "item").mapInArrow(verify, "doc_id long, item_id long, matched_words long, item_words long")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words") / F.col("item_words"), "matched_words", "item_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_words", "best.item_words")
 
