@@ -91,6 +91,16 @@ def test_stage_keeps_one_of_each_class(spark):
     assert got.columns == df.columns and sorted(r.doc_id or -1 for r in got.collect()) == [-1, 3, 4, 5]
 
 
+def test_stage_links_five_words_at_four_fifths(spark):
+    base = [f"b{i}" for i in range(200)]
+    docs = [" ".join(base), " ".join(base + [f"x{i}" for i in range(49)]), " ".join([f"y{i}" for i in range(50)] + base), *families(3)]  # 196/245, 196/246
+    sets = [shingles(t, 5) for t in docs]
+    near = [(a, b) for a in range(len(docs)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert (1, 0) in near and (2, 0) not in near
+    got = J.jaccard_stage(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(classes(len(docs), near)))
+
+
 def vectors(seed):
     rng = np.random.default_rng(seed)
     rows = []

@@ -270,8 +270,8 @@ def op7_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 100_000) -> DataFrame:
-    """One document of each class, that with the smallest id, stays (its first copy by text where an id is repeated); rows without an id stay."""
-    found = similarity_classes(docs.select("doc_id", "text"))
+    """One document of each class by five-word shingles and a similarity of 0.8 or more, that with the smallest id, stays (its first copy by text where an id is repeated); rows without an id stay."""
+    found = similarity_classes(docs.select("doc_id", "text"), n=5, percent=80)
     dropped = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
     kept = docs.join(dropped, "doc_id", "left_anti")
