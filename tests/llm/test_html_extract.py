@@ -27,6 +27,15 @@ def test_article_only(body):
     assert H.main_text(page(body)) == WANT
 
 
+@pytest.mark.parametrize("before", [["Title"], ["Title", "By someone", "Today", "In short", "At home"]])
+@pytest.mark.parametrize("after", [["Last", "The end."], ["Last", "One.", "Two.", "Three.", "Four."]])
+def test_head_and_last_section_outside_the_inner_container(before, after):
+    head = "".join(f"<p>{x}</p>" for x in before[1:])
+    tail = "".join(f"<p>{x}</p>" for x in after[1:])
+    html = f"{NAV}<div class='wrap'><h1>{before[0]}</h1>{head}<div class='body'>{f'<p>{LONG}</p>' * 8}</div><div class='end'><h2>{after[0]}</h2>{tail}</div></div>{AROUND}{FOOT}"
+    assert H.main_text(page(html)) == "\n\n".join([*before, *[LONG.strip()] * 8, *after])
+
+
 def test_open_paragraphs_and_cut_pages():
     html = f"<html><body>{NAV}<div class=\"ad\">Buy. {LONG}</div><article><h1>A</h1><p><b>A.<br><p>Tiny.</p><p>{LONG}</p></article><footer>x</footer>"
     assert H.main_text(html) == "\n\n".join(["A", "A.", "Tiny.", LONG.strip()])

@@ -2,7 +2,8 @@
 
 The standard library's parser streams events; each block (the text between block-level tags) is a line with a
 text-to-tag ratio. Ratios are smoothed by a Gaussian, lines above a threshold form content clusters, and the smallest
-page region that holds the clusters is the article. Menus, headers, footers, sidebars, notices, adverts, forms,
+page region that holds the clusters is the article; without <article> and <main> also the lines before and after it, up to
+boilerplate or a line of links. Menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments are known by tag, role, class or id; their lines have ratio 0 and are never part of the
 text. Inside the region no other line is dropped, however short.
 
@@ -180,11 +181,17 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     named = [c for c in held if parser.kinds[c] == "article"] or [c for c in held if parser.kinds[c] == "main"]
     if named:
         region = max(named, key=lambda c: (held[c], -c))
-    else:  # the deepest container with nearly all clustered text
-        region = max((c for c in held if held[c] >= 0.9 * total), default=0)
-    chosen = [k for k in usable if not region or region in lines[k][4]]
-    if not named:
-        chosen = [k for k in chosen if lines[k][2] < 0.8 * len(lines[k][0]) or k in cluster]
+        chosen = [k for k in usable if region in lines[k][4]]
+    else:  # the deepest container with all clustered text, and what adjoins it
+        region = max((c for c in held if held[c] == total), default=0)
+        text = [not line[3] and (line[2] < 0.8 * len(line[0]) or k in cluster) for k, line in enumerate(lines)]
+        chosen = [k for k in usable if text[k] and (not region or region in lines[k][4])]
+        first, last = chosen[0], chosen[-1]
+        while first and text[first - 1]:
+            first -= 1
+        while last + 1 < len(lines) and text[last + 1]:
+            last += 1
+        chosen = [*range(first, chosen[0]), *chosen, *range(chosen[-1] + 1, last + 1)]
     return "\n\n".join(lines[k][0] for k in chosen)
 
 
