@@ -100,3 +100,13 @@ def test_each_hit_of_a_long_item_is_judged_by_itself(spark):
     got = {(r.doc_id, r.item_id): (r.matched_words, r.item_words) for r in D.find_contamination(df, bench).collect()}
     assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2)}
     assert got[0, 1] == got[1, 1] == got[2, 1] == (128, 128) and got[4, 2] == (80, 100)
+
+
+def test_stage_decides_by_row(spark, tmp_path):
+    rng = random.Random(10)
+    item, clean, other = (" ".join(text(rng, 30)) for _ in range(3))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(None, item), (None, clean), (7, f"so {item}"), (7, other), (None, None)], "doc_id long, text string")
+    for limit in (100_000, 0):
+        got = D.decontamination_stage(spark, df, str(tmp_path), broadcast_rows=limit).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, clean), (7, other), (None, None)]))

@@ -101,6 +101,15 @@ def test_stage_links_five_words_at_four_fifths(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(classes(len(docs), near)))
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_stage_decides_by_row(spark, limit):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(1, one), (1, two), (2, one), (2, three), (None, four), (None, "no like of it here at all"), (None, one), (None, four), (None, None), (None, None), (3, None), (3, None)]
+    got = J.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "", broadcast_rows=limit)
+    want = [(1, one), (1, two), (2, three), (None, four), (None, rows[5][1]), (None, None), (None, None), (3, None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def vectors(seed):
     rng = np.random.default_rng(seed)
     rows = []

@@ -203,7 +203,8 @@ def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 100_000) -> DataFrame:
-    """Documents in which no benchmark item is found. Up to broadcast_rows ids to drop are broadcast, more are joined by a shuffle."""
-    found = stored(find_contamination(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct(), "leaks")
+    """Rows in whose text no benchmark item is found, whatever their ids. Up to broadcast_rows hashes of texts to drop are broadcast, more are joined by a shuffle."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = stored(find_contamination(texts, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_text")).distinct(), "leaks")
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(docs.columns)
+    return docs.join(found, F.xxhash64("text") == F.col("bad_text"), "left_anti").select(docs.columns)

@@ -270,13 +270,21 @@ def op7_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 100_000) -> DataFrame:
-    """One document of each class by five-word shingles and a similarity of 0.8 or more, that with the smallest id, stays (its first copy by text where an id is repeated); rows without an id stay."""
-    found = similarity_classes(docs.select("doc_id", "text"), n=5, percent=80)
-    dropped = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    """One row of each class by five-word shingles and a similarity of 0.8 or more stays, that with the smallest id.
+
+    Rows are told apart by id and text, so a null or repeated id says nothing of other rows with it. Of rows with
+    the same id and text one stays, but all of those with neither id nor words.
+    """
+    text = F.xxhash64("text")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("text"))
+    found = similarity_classes(docs.select(row.alias("doc_id"), "text"), n=5, percent=80)
+    dropped = stored(found.where("doc_id <> component_id").select("doc_id.id", F.col("doc_id.text").alias("hash")).distinct(), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= broadcast_rows else dropped
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    is_row = F.col("doc_id").eqNullSafe(F.col("id")) & (text == F.col("hash"))
+    kept = docs.join(dropped, is_row, "left_anti")
+    repeats = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")).where("n > 1 and (not doc_id.none or words > 0)")
+    twice = stored(repeats.select("doc_id.id", F.col("doc_id.text").alias("hash")), "twice")
     if twice.isEmpty():
         return kept.select(docs.columns)
-    first = kept.join(twice, "doc_id").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1")
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(first.select(docs.columns))
+    first = kept.join(twice, is_row, "left_semi").withColumn("__text", text).dropDuplicates(["doc_id", "__text"])
+    return kept.join(twice, is_row, "left_anti").select(docs.columns).union(first.select(docs.columns))
