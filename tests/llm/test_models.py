@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from windrow.llm import quality as Q
 from windrow.llm import toxicity as T
@@ -36,19 +38,19 @@ def odd(spark):
 
 def test_quality_learns_and_scores_everything(spark, corpus):
     labels = Q.clean_labels(corpus.where("doc_id < 600"), "quality")
-    model = Q.fit_quality(Q.text_statistics(corpus), labels)
-    got = {r.id: r.score for r in Q.score_quality(Q.text_statistics(corpus), model).collect()}
+    model = Q.fit_quality(corpus, labels)
+    got = {r.id: r.score for r in Q.score_quality(corpus, model).collect()}
     held = [(got[r.doc_id] >= 0.5) == bool(r.quality) for r in corpus.where("doc_id >= 600").collect()]
     assert np.mean(held) > 0.95
-    rest = Q.score_quality(Q.text_statistics(odd(spark)), model).collect()
+    rest = Q.score_quality(odd(spark), model).collect()
     assert len(rest) == len(ODD) and all(0 <= r.score <= 1 for r in rest)
-    assert Q.score_quality(Q.text_statistics(odd(spark).limit(0)), model).count() == 0
+    assert Q.score_quality(odd(spark).limit(0), model).count() == 0
 
 
 def test_quality_score_is_a_log_density_difference(spark, corpus):
     labels = Q.clean_labels(corpus, "quality")
     stats = Q.text_statistics(corpus)
-    model = Q.fit_quality(stats, labels, pooling=0.3, ridge=0.02)
+    model = Q.fit_quality(corpus, labels, pooling=0.3, ridge=0.02)
     rows = {r.id: np.array(r.stats) for r in stats.collect()}
     y = {r.id: r.label for r in labels.collect()}
     x = np.array([rows[i] for i in sorted(rows)])
@@ -67,10 +69,19 @@ def test_quality_score_is_a_log_density_difference(spark, corpus):
 
 
 def test_one_class_or_none(spark, corpus):
-    stats = Q.text_statistics(corpus)
-    none = Q.fit_quality(stats, Q.clean_labels(corpus.limit(0), "quality"))
-    one = Q.fit_quality(stats, Q.clean_labels(corpus.where("quality = 1"), "quality"))
-    assert Q.score_quality(stats, none).first().score == 0.5 and Q.score_quality(stats, one).first().score == 1.0
+    none = Q.fit_quality(corpus, Q.clean_labels(corpus.limit(0), "quality"))
+    one = Q.fit_quality(corpus, Q.clean_labels(corpus.where("quality = 1"), "quality"))
+    assert Q.score_quality(corpus, none).first().score == 0.5 and Q.score_quality(corpus, one).first().score == 1.0
+
+
+def test_repeated_ids_and_text_ids_train(spark, corpus):
+    labels = Q.clean_labels(corpus, "quality")
+    twice = corpus.unionByName(corpus.where("doc_id % 2 = 0").withColumn("text", F.lit("other text here")))
+    one, two = (Q.fit_quality(twice.repartition(n), labels) for n in (2, 7))
+    x = Q.batch_statistics(pa.array(["some plain words", "### $$$", None]))
+    assert np.allclose(one.score(x), two.score(x))
+    named = corpus.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    assert np.allclose(Q.fit_quality(named, Q.clean_labels(named, "quality")).score(x), Q.fit_quality(corpus, labels).score(x))
 
 
 def test_labels_by_majority(spark):

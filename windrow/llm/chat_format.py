@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import read
+from windrow.llm.common import read, trimmed
 
 TURN_END = "\n</turn>\n"
 EXAMPLE_SCHEMA = "conv_id long, example long, n_turns long, text string, loss_start long, loss_end long, last boolean"
@@ -106,7 +106,7 @@ def expand_prefix_targets(turns: DataFrame) -> DataFrame:
             yield flush()
 
     ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, EXAMPLE_SCHEMA)
+    return ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(trimmed(run), EXAMPLE_SCHEMA)
 
 
 def digest_examples(examples: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def digest_examples(examples: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return examples.mapInArrow(trimmed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = r"\### Assistant: </turn> ok"

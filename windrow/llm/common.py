@@ -3,29 +3,45 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 # ---------------------------------------------------------------- tables
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes that Spark hands a Python worker at once, in this session; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 4_000_000)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key, None))
+        if not re.fullmatch("[0-9]+", now) or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests, one machine) a local one is made."""
+    """The folder all executors share. Only a session on one machine (tests) that names none gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
         found = f"file://{tempfile.mkdtemp(prefix='windrow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove, found.removeprefix("file://"))
@@ -51,7 +67,7 @@ def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(1 + rows // 200_000)
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,6 +92,28 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 # ---------------------------------------------------------------- arrow batches
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving freed memory back to the system when a task ends: an idle worker then holds little."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
+def trim() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of whole rows with about `limit` bytes of text, one row at least."""
     for batch in batches:
@@ -106,8 +144,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- hashing
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-_powers: dict[str, np.ndarray] = {}
+_WRAP = 64
+_UP = np.cumprod(np.full(_WRAP, 0x9E3779B97F4A7C15 | 5, np.uint64), dtype=np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -118,18 +156,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-        _powers["table"] = mix(np.arange(1, 257, dtype=np.uint64), 17)
-    return _powers["up"], _powers["down"]
-
-
+_CODES = mix(np.arange(1, 257, dtype=np.uint64), 17)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -139,7 +166,7 @@ _LOWER[65:91] += 32
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ([^ \\t-\\r]+, A-Z lower-cased) of all rows, and the n+1 offsets of each row's words.
 
-    A word's hash is a polynomial over 64-bit byte codes, read off prefix sums, so no string is made.
+    A word's hash adds up a code for each byte, weighted by its place in the word, so no string is made.
     keep: bytes outside this table of 256 flags also part words.
     """
     n_rows = len(offsets) - 1
@@ -153,16 +180,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None =
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
-    ends_here = inside.copy()
-    ends_here[:-1] &= ~inside[1:]
-    tails = offsets[1:][offsets[1:] > 0] - 1
-    ends_here[tails] |= inside[tails]
-    ends = np.flatnonzero(ends_here) + 1
-    up, down = _power(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_powers["table"][_LOWER[raw]] * up[: len(raw)], dtype=np.uint64, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    own = np.flatnonzero(inside)
+    first = np.searchsorted(own, starts)
+    lengths = np.diff(np.append(first, len(own)))
+    place = np.arange(len(own)) - np.repeat(first, lengths)
+    terms = _CODES[_LOWER[raw[own]]] * _UP[place % _WRAP]
+    if lengths.max() > _WRAP:
+        terms *= (2 * (place // _WRAP) + 1).astype(np.uint64)
+    hashes = mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 

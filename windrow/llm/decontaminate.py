@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import mix, read, slices, stored, text_buffers, word_hashes
+from windrow.llm.common import mix, read, slices, stored, text_buffers, trimmed, word_hashes
 
 _FIVES = ("11111", "1101011", "11100011", "110010101", "1010110001")
 #: Masks for items of at least this many words. By enumeration of all placements one hits every item of 10 to 31 words of
@@ -73,7 +73,7 @@ def item_words(items: DataFrame) -> DataFrame:
             words, at = word_hashes(*text_buffers(folded(part.column("text"))), _KEEP)
             yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(words.view(np.int64)))], ["item_id", "words"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words array<long>")
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(trimmed(run), "item_id long, words array<long>")
 
 
 def item_seeds(words: DataFrame, min_words: int) -> DataFrame:
@@ -88,7 +88,7 @@ def item_seeds(words: DataFrame, min_words: int) -> DataFrame:
                 at = np.concatenate([np.arange(len(h), dtype=np.int32) for h in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array([key] * len(at), pa.int64()), pa.array(at)], ["seed", "item_id", "item_pos"])
 
-    return words.select("item_id", "words").mapInArrow(run, "seed long, item_id long, item_pos int").distinct()
+    return words.select("item_id", "words").mapInArrow(trimmed(run), "seed long, item_id long, item_pos int").distinct()
 
 
 def bloom(seed_table: DataFrame, n: int, max_log2: int = 27, bits_each: int = 512) -> tuple[np.ndarray, int]:
@@ -106,7 +106,7 @@ def bloom(seed_table: DataFrame, n: int, max_log2: int = 27, bits_each: int = 51
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["bits"])
 
     whole = np.zeros(1 << max(0, log2 - 3), np.uint8)
-    for row in seed_table.select("seed").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in seed_table.select("seed").coalesce(8).mapInArrow(trimmed(run), "bits binary").toLocalIterator():
         whole |= np.frombuffer(row.bits, np.uint8)
     return whole, log2
 
@@ -152,7 +152,7 @@ def segments(docs: DataFrame, filter_bits, log2: int, masks: tuple[str, ...], re
                 part.column("doc_id").take(pa.array(row[new])), pa.ListArray.from_arrays(edges, pa.array(words[spread].view(np.int64))), pa.ListArray.from_arrays(own, hits),
             ], ["doc_id", "words", "hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, words array<long>, hits array<struct<seed:long,pos:int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, words array<long>, hits array<struct<seed:long,pos:int>>")
 
 
 def find_contamination(
@@ -193,7 +193,7 @@ def find_contamination(
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "matched_words", "item_words"])
 
-    found = pairs.select("doc_id", "item_id", "shift", "at", "words", "item").mapInArrow(verify, "doc_id long, item_id long, matched_words long, item_words long")
+    found = pairs.select("doc_id", "item_id", "shift", "at", "words", "item").mapInArrow(trimmed(verify), "doc_id long, item_id long, matched_words long, item_words long")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words") / F.col("item_words"), "matched_words", "item_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_words", "best.item_words")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import components, drop_stored, read, stored
+from windrow.llm.common import components, drop_stored, read, stored, trimmed
 
 CELLS = 4096
 
@@ -85,7 +85,7 @@ def vector_nodes(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), batch.column(1), pa.array(sizes, pa.int32()), batch.column(2)], ["vec_id", "node", "label", "dims", "embedding"])
 
     wide = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return wide.mapInArrow(run, f"vec_id {kind}, node long, label string, dims int, embedding array<double>")
+    return wide.mapInArrow(trimmed(run), f"vec_id {kind}, node long, label string, dims int, embedding array<double>")
 
 
 def projected(nodes: DataFrame, p: CollisionParams) -> DataFrame:
@@ -105,7 +105,7 @@ def projected(nodes: DataFrame, p: CollisionParams) -> DataFrame:
                 ends = np.arange(len(out) + 1, dtype=np.int32) * p.projections
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out)))], [*batch.schema.names, "at"])
 
-    return nodes.mapInArrow(run, "node long, label string, dims int, embedding array<double>, copies long, at array<float>")
+    return nodes.mapInArrow(trimmed(run), "node long, label string, dims int, embedding array<double>, copies long, at array<float>")
 
 
 def compare_blocks(p: CollisionParams):

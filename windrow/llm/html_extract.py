@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import read
+from windrow.llm.common import read, trimmed
 
 _BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -208,7 +208,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
                 texts = [main_text(x) if x else "" for x in part.column(html_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], [*names, text_col])
 
-    return pages.select(*names, html_col).mapInArrow(run, schema)
+    return pages.select(*names, html_col).mapInArrow(trimmed(run), schema)
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,25 @@
 """Set-similarity self-join of word n-grams by PartEnum signatures, and the classes of linked documents.
 
 A document is the set of its distinct shingles (n words; the whole sequence where there are fewer; empty without words).
-Documents with equal sets are one node. Two sets whose Jaccard similarity is at least p percent differ in few elements:
-at most k = (100 - p) / (100 + p) times the sum of their sizes. Sizes fall into bands so that linked sets lie in the
-same or neighbouring bands; for each band pair the hashed element domain is cut into k + 1 + spare parts, and a
-set's signatures are the hashes of its elements in each part. Linked sets agree on more than `spare` parts, so they share
-a signature even when empty parts are left out (sets with more than `spare` empty parts keep those too). No link is lost.
-
-Signatures are shuffled once, each distinct set once a task. The sets of a bucket share its smallest key as a centre; each
-set is compared with the centres it shares most buckets with, exactly, and linked classes come from those links: groups
-of thousands of copies or near copies cost a few comparisons a member. Where a bucket then still holds several classes,
-no pair of them is left out: large buckets that overlap make a cluster, which is compared in blocks of bounded size
-(but for blocks of one and the same class), each giving links enough to join what is linked; pairs of small buckets that
+Documents with equal sets are one node. Sizes fall into bands, each half as wide again as it starts. A pair belongs to
+the band of its smaller set: if its similarity is p percent or more, the sets differ in at most k = (100 - p) / p times
+the band's largest size. Every set so signs in its own band, and in the one before if a set of that could be similar.
+
+Two levels: in a band the hashed shingle domain is cut into n1 first-level parts of three second-level parts each, and in
+every first-level part the three subsets of two second-level parts are enumerated; a signature is the hash of the set's
+shingles in such a subset. A first-level part with no difference leaves three subsets equal, one with one difference
+leaves one. With 2 * n1 > k some subset is always equal; n1 is a tenth larger, so that `spare` more are: linked sets share
+at least spare + 1 signatures. Each set leaves out its `spare` least telling ones, those with the fewest shingles, in an
+order that depends on a signature's contents only: the best that a linked pair shares is among what both keep. Thus the
+empty and near-empty subsets on which unlike sets agree are not sent, and no link is lost.
+
+Signatures are shuffled once, packed by bucket, one set of a batch for each signature; the other sets of the batch with it
+are written beside, so that a signature that a third of all sets share is one row a batch and not one a set. The sets of
+a signature share its smallest key as a centre; each
+set is compared with the centres it shares most signatures with, exactly, and linked classes come from those links: groups
+of thousands of copies or near copies cost a few comparisons a member. Where a signature then still holds several classes,
+no pair of them is left out: large ones that overlap make a cluster, which is compared in blocks (all members of a block
+of one class are skipped), each giving links enough to join what is linked; pairs of small ones that
 neither a centre nor a cluster covers are compared one by one, each once.
 
 Node keys and shingles are 64-bit hashes. Null and empty texts have no shingles and link with nothing. Repeated
@@ -27,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import components, drop_stored, gram_hashes, mix, read, release, slices, stored, text_buffers, word_hashes
+from windrow.llm.common import components, drop_stored, gram_hashes, mix, read, release, slices, stored, text_buffers, trim, trimmed, word_hashes
 
-_SEEN = 500_000
-_ONE = np.uint64(1)
+#: Keys of sets that a task remembers, so as not to sign the copies of a set again.
+_SEEN = 1 << 15
+_SIGN_BYTES = 1_000_000
+#: Second-level parts of a first-level part, taken two at a time.
+_SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
 def shingle_sets(part: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -48,12 +59,21 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     return mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64), 29).view(np.int64)
 
 
-def bands(percent: int, largest: int) -> np.ndarray:
-    """First sizes of the bands: linked sets are in the same band or in neighbours."""
+def bands(largest: int) -> np.ndarray:
+    """First sizes of the bands that sizes up to `largest` need, and of the next."""
     out = [1]
     while out[-1] <= largest:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array([*out, out[-1] * 100 // percent + 1], np.int64)
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array([*out, out[-1] * 3 // 2 + 1], np.int64)
+
+
+def parts_of(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n1 for sets that differ in at most k elements, and how many signatures linked sets share beyond one."""
+    least = (k + 2) // 2
+    n1 = least + 1 + least // 10
+    # k differences, spread evenly, are the worst: up to n1 of them leave one subset of three, each further one none.
+    shared = np.where(k >= n1, 2 * n1 - k, 3 * n1 - 2 * k)
+    return n1, shared - 1
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,35 +82,41 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     if not sizes.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
     place, value = mix(flat, 5) >> np.uint64(32), mix(flat, 6)
-    first = bands(percent, int(sizes.max()))
+    first = bands(int(sizes.max()))
     band = np.searchsorted(first, sizes, side="right") - 1
     numbers, found = [], []
-    for up in (0, 1):
-        slot = band + up
-        upper = first[slot + 1] - 1
-        k = 2 * upper * (100 - percent) // (100 + percent)
-        spare = 2 + k // 40
-        parts = np.where((k > 0) & (sizes > 0), k + 1 + spare, 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        use = parts[owner] > 0
-        own = owner[use]
-        cell = base[own] + ((place[use] * parts[own].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        cell, sums = cell[order], np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[use][order], dtype=np.uint64)])
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        full = cell[starts]
-        total = sums[np.append(starts[1:], len(cell))] - sums[starts] if len(cell) else np.zeros(0, np.uint64)
-        filled = np.bincount(np.searchsorted(base, full, side="right") - 1, minlength=len(sets))[: len(sets)]
-        sparse = np.flatnonzero(parts - filled > spare)
-        if len(sparse):
-            empty = np.concatenate([np.setdiff1d(np.arange(base[i], base[i + 1]), full, assume_unique=True) for i in sparse])
-            full, total = np.concatenate([full, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
-        of = np.searchsorted(base, full, side="right") - 1
-        label = (slot[of].astype(np.uint64) << np.uint64(40)) + (full - base[of]).astype(np.uint64)
-        numbers.append(of)
-        found.append(mix(total + mix(label, 7), 8))
+    for down in (0, 1):
+        slot = band - down
+        upper = first[np.maximum(slot, 0) + 1] - 1
+        k = np.where((slot >= 0) & (sizes > 0) & (percent * sizes <= 100 * upper if down else True), upper * (100 - percent) // percent, 0)
+        signing = np.flatnonzero(k > 0)
+        if not len(signing):
+            continue
+        n1, spare = parts_of(k[signing])
+        count = sizes[signing]
+        base = np.concatenate([[0], np.cumsum(n1)])
+        at = np.repeat(np.cumsum(sizes)[signing] - count - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        cells = np.repeat((3 * n1).astype(np.uint64), count)
+        cell = np.repeat(3 * base[:-1], count) + (place[at] * cells >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(cell)
+        filled = np.bincount(cell, minlength=3 * base[-1])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[at][order], dtype=np.uint64)])
+        ends = np.cumsum(filled)
+        total, filled = (sums[ends] - sums[ends - filled]).reshape(-1, 3), filled.reshape(-1, 3)
+        owner = np.repeat(np.arange(len(signing)), n1)
+        label = (slot[signing][owner].astype(np.uint64) << np.uint64(40)) + (np.arange(base[-1]) - base[owner]).astype(np.uint64) * np.uint64(4)
+        held = np.concatenate([filled[:, a] + filled[:, b] for a, b in _SUBSETS])
+        hashes = np.concatenate([mix(total[:, a] + total[:, b] + mix(label + np.uint64(i), 7), 8) for i, (a, b) in enumerate(_SUBSETS)])
+        owner = np.tile(owner, 3)
+        # Least telling first: by elements, then by hash, which equal contents share.
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | (np.minimum(held, 255).astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+        rank = np.arange(len(order)) - np.repeat(3 * base[:-1], 3 * n1)
+        kept = order[rank >= np.repeat(spare, 3 * n1)]
+        numbers.append(signing[owner[kept]])
+        found.append(hashes[kept])
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(numbers), np.concatenate(found)
 
 
@@ -104,29 +130,80 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(set_keys(sets), mask=sizes == 0)], ["doc_id", "n_shingles", "key"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles long, key long")
 
 
-def signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(signature, key): each distinct set's signatures, once a task at most while the task remembers the set."""
+def packed_signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, signatures array<int>, keys array<long>): a batch's signatures by bucket, each with one set's key.
+
+    A signature's bucket is its high half modulo `buckets`; its low half is sent. Sets of the batch that share a signature go
+    into buckets of their own from `buckets` on, dealt by batch, with whole signatures as (signature, key) in turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in slices(batches, "text"):
+        seen = np.zeros(_SEEN, np.int64)
+        for part in slices(batches, "text", _SIGN_BYTES):
             sets = shingle_sets(part, n)
             keys = set_keys(sets)
-            fresh = []
-            for i, k in enumerate(keys.tolist()):
-                if k not in seen and len(sets[i]):
-                    seen.add(k)
-                    fresh.append(i)
-            if len(seen) > _SEEN:
-                seen.clear()
+            _, fresh = np.unique(keys, return_index=True)
+            slot = (keys[fresh] % _SEEN).astype(np.int64)
+            fresh = fresh[seen[slot] != keys[fresh]]
+            seen[keys[fresh] % _SEEN] = keys[fresh]
             of, found = signatures([sets[i] for i in fresh], percent)
-            if len(of):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(keys[np.array(fresh)][of])], ["signature", "key"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "signature long, key long")
+            if not len(of):
+                continue
+            key = keys[fresh][of]
+            order = np.lexsort((key, found))
+            key, found = key[order], found[order]
+            new = np.concatenate([[True], found[1:] != found[:-1]])
+            alike = ~new
+            alike[:-1] |= ~new[1:]
+            bucket = bucket_of(found[new], buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+            names, lists = [bucket[order][edges]], [(found[new][order] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)]
+            members, ends = [key[new][order]], [np.append(edges, len(order))]
+            if alike.any():
+                both = np.stack([found[alike].view(np.int64), key[alike]], axis=1).ravel()
+                names.append(np.array([buckets + int(found[0] % np.uint64(buckets))]))
+                members.append(both)
+                ends.append(ends[-1][-1:] + len(both))
+            key_ends = np.concatenate(ends).astype(np.int32)
+            sign_ends = np.minimum(key_ends, len(order))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(names)), pa.ListArray.from_arrays(sign_ends, pa.array(lists[0])), pa.ListArray.from_arrays(key_ends, pa.array(np.concatenate(members))),
+            ], ["bucket", "signatures", "keys"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "bucket long, signatures array<int>, keys array<long>")
+
+
+def bucket_of(found: np.ndarray, buckets: int) -> np.ndarray:
+    return ((found >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def shared_signatures(packed: DataFrame, buckets: int) -> DataFrame:
+    """(signature, key) of the signatures that several sets have; repeats occur."""
+
+    def collide(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        key = table.column("keys").combine_chunks().flatten().to_numpy()
+        if bucket >= buckets:
+            return pa.table({"signature": pa.array(shortened(key[::2].view(np.uint64), buckets)), "key": pa.array(key[1::2])})
+        low = table.column("signatures").combine_chunks().flatten().to_numpy().view(np.uint32).astype(np.int64)
+        order = np.argsort(low, kind="stable")
+        low, key = low[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        several = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
+        kept = np.repeat(several, np.diff(np.append(starts, len(low))))
+        trim()
+        return pa.table({"signature": pa.array((bucket << 32) + low[kept]), "key": pa.array(key[kept])})
+
+    return packed.groupBy("bucket").applyInArrow(collide, "signature long, key long")
+
+
+def shortened(found: np.ndarray, buckets: int) -> np.ndarray:
+    """Signatures as they are known after the shuffle: bucket and low half."""
+    return (bucket_of(found, buckets) << 32) + (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
@@ -142,7 +219,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int) ->
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["key", "elements"])
 
-    made = texts.select("text").mapInArrow(run, "key long, elements array<long>")
+    made = texts.select("text").mapInArrow(trimmed(run), "key long, elements array<long>")
     return made.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -157,11 +234,17 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Links between sets of different classes within the same cluster, compared block against block.
 
-    members: (cluster, key, class). Each cluster's members are numbered by class and cut into blocks; every pair of blocks
-    is one group of at most 2 * block sets, and gives at most 2 * block - 1 links: enough to join what is linked.
+    members: (cluster, key, class). A class of more than half a block is cut by hash into blocks of its own, smaller classes
+    are dealt to shared blocks by the class's hash, so blocks have about `block` sets; every pair of blocks
+    is one group, and gives fewer links than it has sets: enough to join what is linked.
     """
-    own = Window.partitionBy("cluster").orderBy("class", "key")
-    numbered = stored(members.select("cluster", "key", "class", F.floor((F.row_number().over(own) - 1) / block).cast("int").alias("block")), "numbered")
+    half = block // 2
+    sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= half).groupBy("cluster").agg(F.ceil(F.sum("n") / half).alias("shares"))
+    large = sizes.where(F.col("n") > half).select("cluster", "class", F.ceil(F.col("n") / half).alias("cuts"))
+    name = F.when(F.col("cuts").isNotNull(), F.xxhash64("class", F.pmod(F.xxhash64("key"), "cuts"))).otherwise(F.pmod(F.xxhash64("class"), "shares"))
+    numbered = members.join(large, ["cluster", "class"], "left").join(small, "cluster", "left")
+    numbered = stored(numbered.select("cluster", "key", "class", name.alias("block")), "numbered")
     blocks = numbered.groupBy("cluster", "block").agg(F.min("class").alias("least"), F.max("class").alias("most"))
     one = blocks.select("cluster", F.col("block").alias("low"), F.col("least").alias("low_least"), F.col("most").alias("low_most"))
     two = blocks.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
@@ -213,21 +296,25 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "classes")
 
 
-def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 200_000, small: int = 32, centres: int = 3) -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 200_000, small: int = 32, centres: int = 3, per_bucket: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
 
     small: members up to which a bucket of several classes is compared pair by pair; centres: comparisons of a set
-    before classes are first formed. Neither changes the result.
+    before classes are first formed; per_bucket: shingles behind a bucket of signatures. None changes the result.
     """
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must be from 70 to 100: below, similar sets may lie two bands apart")
     spark = docs.sparkSession
     rows = stored(document_sets(docs, n), "sets")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    by_signature = Window.partitionBy("signature")
-    shared = signature_rows(docs, n, percent).withColumn("centre", F.min("key").over(by_signature)).withColumn("last", F.max("key").over(by_signature)).where("centre <> last")
-    buckets = stored(shared.select("signature", "key", "centre"), "buckets")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(256, int(total // per_bucket))
+    pairs = stored(shared_signatures(packed_signatures(docs, n, percent, buckets), buckets), "shared")
     release(spark)
-    often = buckets.where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
+    centre = pairs.groupBy("signature").agg(F.min("key").alias("centre"))
+    often = pairs.join(centre, "signature").where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
     star = stored(often.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("rank") <= centres).select("a", "b"), "star")
+    buckets = pairs
     wanted = stored(nodes.join(buckets.select("key").distinct(), "key").select("key", "doc_id"), "wanted")
     sets = stored(sets_of(docs, wanted, n, broadcast_rows), "elements")
     links = stored(linked_pairs(star, sets, percent), "links")
@@ -242,7 +329,7 @@ def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     rest = stored(placed.join(mixed, "signature").select(F.col("signature").alias("bucket"), "key", "n"), "mixed")
     release(spark)
     many = rest.where(F.col("n") > small)
-    chain = many.withColumn("first", F.min("key").over(Window.partitionBy("bucket"))).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    chain = many.join(many.groupBy("bucket").agg(F.min("key").alias("a")), "bucket").select("a", F.col("key").alias("b"))
     clusters = stored(components(chain).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "clusters")
     more = stored(block_links(clusters.join(classes, "key"), sets, percent), "more")
     release(spark)

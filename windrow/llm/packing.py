@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.llm.common import read, slices, stored
+from windrow.llm.common import read, slices, stored, trimmed
 
 _CACHE_UNITS = 150_000
 _SLICE = 1_000_000
@@ -164,7 +164,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str | None =
             table = np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), *(pa.array(table[:, c]) for c in range(4))], names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, piece long, start long, length long, ids_crc32 long")
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,7 @@ def pack(pieces: DataFrame, limit: Capacities = Capacities(), rows_per_bucket: i
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(run), f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

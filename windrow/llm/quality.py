@@ -1,12 +1,15 @@
 """Document quality by regularised quadratic discriminant analysis over transformed text statistics.
 
 fit_quality learns class means and shrinkage covariances from moments that Spark adds up; the driver sees two
-moment matrices only. Each class keeps the Cholesky factor of its covariance, so a score is two triangular solves
+moment matrices only. Each class keeps the inverse of its covariance's Cholesky factor, so a score is two products with a triangle
 and a difference of Mahalanobis log-densities, squashed to 0..1.
 
+Training reads the texts of at most `max_train` labelled ids, those with the smallest hash: the bound is a parameter and
+does not depend on the corpus. Scoring reads every whole text, once.
+
 Null and empty texts have defined statistics (all zero counts) and a score like any other. Repeated doc_ids give a
-row each. A doc_id with several labels counts once, as the majority says (ties: 1). With one class or none among the
-labels, the score is the share of label 1 (0.5 without labels).
+row each, in training too. An id with several labels has the one that the majority says (ties: 1). With one class or none
+among the labels, the score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import fold, read, stored, text_buffers
+from windrow.llm.common import fold, read, slices, trimmed
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "letter_share", "upper_share", "digit_share",
@@ -62,40 +65,40 @@ def statistics(text: str) -> np.ndarray:
     ])
 
 
+def batch_statistics(texts: pa.Array) -> np.ndarray:
+    """A row of statistics for each text; null is empty."""
+    return np.stack([statistics(x or "") for x in texts.to_pylist()])
+
+
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stats array<double>) for every row of docs."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [statistics(x or "") for x in part.column(1).to_pylist()]
-                flat = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES), flat)], ["id", "stats"])
+        for part in slices(batches, "text"):
+            flat = pa.array(batch_statistics(part.column("text")).ravel())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * len(FEATURES), flat)], ["id", "stats"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, stats array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), f"id {kind.simpleString()}, stats array<double>")
 
 
 def moments(rows: DataFrame) -> dict[int, np.ndarray]:
-    """(stats, label) to the sum of (1, x)(1, x)^T by label; the driver gets one matrix a class."""
+    """(label, text) rows to the sum of (1, x)(1, x)^T by label; the driver gets one matrix a class."""
     d = len(FEATURES) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.ones((batch.num_rows, d))
-            x[:, 1:] = batch.column(0).flatten().to_numpy().reshape(-1, d - 1)
-            label = batch.column(1).to_numpy(zero_copy_only=False)
+        for part in slices(batches, "text"):
+            x = np.ones((part.num_rows, d))
+            x[:, 1:] = batch_statistics(part.column("text"))
+            label = part.column("label").to_numpy(zero_copy_only=False)
             for c in (0, 1):
-                part = x[label == c]
-                total[c] = total.get(c, 0) + part.T @ part
+                rows_of = x[label == c]
+                total[c] = total.get(c, 0) + rows_of.T @ rows_of
         for c, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, c, np.int32)), pa.array(np.arange(d * d, dtype=np.int32)), pa.array(m.ravel())], ["label", "cell", "value"])
 
-    sums = rows.select("stats", F.col("label").cast("int")).mapInArrow(run, "label int, cell int, value double").groupBy("label", "cell").agg(F.sum("value").alias("value")).collect()
+    sums = rows.select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "label int, cell int, value double").groupBy("label", "cell").agg(F.sum("value").alias("value")).collect()
     out = {c: np.zeros(d * d) for c in (0, 1)}
     for r in sums:
         out[r.label][r.cell] = r.value
@@ -148,22 +151,22 @@ def clean_labels(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg((F.avg(F.col(column).cast("double")) >= 0.5).cast("int").alias("label")).withColumnRenamed("doc_id", "id")
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, pooling: float = 0.3, ridge: float = 0.02) -> QualityModel:
-    """stats: (id, stats); labels: (id, label), one row an id."""
-    return QualityModel(moments(stats.dropDuplicates(["id"]).join(labels, "id")), pooling, ridge)
+def fit_quality(docs: DataFrame, labels: DataFrame, pooling: float = 0.3, ridge: float = 0.02, max_train: int = 20_000) -> QualityModel:
+    """docs: (doc_id, text); labels: (id, label), one row an id. The sample of ids is bounded, hence broadcast."""
+    sample = labels.orderBy(F.xxhash64("id"), "id").limit(max_train).withColumnRenamed("id", "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id").cast("string") == F.col("labelled").cast("string"))
+    return QualityModel(moments(rows), pooling, ridge)
 
 
-def score_quality(stats: DataFrame, model: QualityModel) -> DataFrame:
-    """(id, score) for every row of stats."""
-    kind = stats.schema["id"].dataType.simpleString()
+def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) for every row of docs."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.score(batch_statistics(part.column("text"))))], ["id", "score"])
 
-    return stats.select("id", "stats").mapInArrow(run, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), f"id {kind}, score double")
 
 
 def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,25 +175,18 @@ def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = stored(text_statistics(read(spark, sf_dir, "documents")), "quality")
-    model = fit_quality(stats, train_labels(spark, sf_dir))
-    return score_quality(stats, model).select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs, train_labels(spark, sf_dir))).select(
         F.col("id").alias("doc_id"), (fold(F.col("id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.5; the statistics travel with the rows, so texts are not joined back."""
-    stats = stored(text_statistics(docs), "quality")
-    model = fit_quality(stats, train_labels(spark, sf_dir))
-    fields = docs.schema
+    """Documents whose score is at least 0.5, with their columns as they are."""
+    model = fit_quality(docs, train_labels(spark, sf_dir))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column("text").to_pylist()
-                keep = model.score(np.stack([statistics(x or "") for x in texts])) >= 0.5
-                yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, fields)
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(model.score(batch_statistics(part.column("text"))) >= 0.5))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import fold, mix, read, slices, text_buffers, word_hashes
+from windrow.llm.common import fold, mix, read, slices, text_buffers, trimmed, word_hashes
 from windrow.llm.quality import clean_labels
 
 _KEEP = np.zeros(256, bool)
@@ -63,7 +63,7 @@ def training_features(docs: DataFrame, bits: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows)))], ["id", "label", "features"])
 
-    return docs.select("id", "label", "text").mapInArrow(run, "id long, label int, features array<int>")
+    return docs.select("id", "label", "text").mapInArrow(trimmed(run), "id long, label int, features array<int>")
 
 
 def ftrl(rows: list[tuple[int, np.ndarray]], p: FtrlParams) -> tuple[np.ndarray, np.ndarray, float]:
@@ -118,7 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlPa
         i, w, b = ftrl(kept, params)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int64)), pa.array(np.append(w, b))], ["i", "w"])
 
-    got = training_features(rows, params.bits).repartition(1).mapInArrow(run, "i long, w double").collect()
+    got = training_features(rows, params.bits).repartition(1).mapInArrow(trimmed(run), "i long, w double").collect()
     table = sorted((r.i, r.w) for r in got)
     if not table:
         return ToxicityModel(params.bits, np.zeros(0, np.int64), np.zeros(0), 0.0)
@@ -148,7 +148,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             score = 1 / (1 + np.exp(-np.clip(total[: part.num_rows] + intercept, -35, 35)))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score)], ["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), f"id {kind}, score double")
 
 
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
