@@ -85,6 +85,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that none of `taken` has, whatever their case."""
+    low = {x.lower() for x in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds

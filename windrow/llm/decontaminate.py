@@ -3,14 +3,15 @@
 Words are runs of letters and digits, case-folded by Unicode (so ß is ss) and in NFC. A mask such as 11011 hashes the words at its 1s and ignores those at
 its 0s, so a seed survives substitutions at ignored places. The seeds of all benchmark items form a table and a small
 Bloom filter; each task hashes every position of its whole texts under every mask, keeps positions that the filter
-lets through and the words around them. Those few are joined with the seed table, and each (place, item, alignment) is
-verified word by word: an item is found where at least `similarity` of its words stand in the text, in place, counting
-at most `reach` words on either side of a hit for items longer than that. Each hit is judged by itself and all hits of the
-alignment together, and the best of these counts.
-
-Items of 10 words or more have masks of weight 5, shorter ones every mask of their own length that ignores one word.
-Wherever a fifth of an item's words was replaced, some mask still hits. Items with fewer than `min_words` words (five by default) are never found. Null and empty texts have no hits. Repeated rows of a document give one row with their id;
-rows with a null doc_id are reported together under null. Repeated items are reported each.
+lets through and as many words around them as the longest item has. Those few are joined with the seed table, and each
+(place, item, alignment) is verified word by word over the whole item: an item is found where at least `similarity` of all
+its words stand in the text, in place.
+
+Items of 10 words or more have masks of weight 5, shorter ones every mask of their own length that ignores one word, and
+those of one to four words, of which none may be replaced, the mask of all their words.
+Wherever a fifth of an item's words was replaced, some mask still hits. Null and empty texts have no hits, items without words are
+never found. Repeated rows of a document give one row with their id; rows with a null doc_id are reported together under null.
+Repeated items are reported each. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import mix, read, slices, stored, text_buffers, trimmed, word_hashes
+from windrow.llm.common import fresh, mix, read, slices, stored, text_buffers, trimmed, word_hashes
 
 _FIVES = ("11111", "1101011", "11100011", "110010101", "1010110001")
 #: Masks for items of at least this many words. By enumeration of all placements one hits every item of 10 to 31 words of
@@ -40,7 +41,10 @@ def masks_for(n: int) -> tuple[str, ...]:
     for least, masks in MASKS.items():
         if n >= least:
             return masks
-    return tuple("1" * i + "0" + "1" * (n - 1 - i) for i in range(n))
+    if n < 5:
+        return ("1" * n,)
+    # One word may be replaced, or missing where a text begins or ends: there the mask of the others is shorter.
+    return ("1" * (n - 1), *("1" * i + "0" + "1" * (n - 1 - i) for i in range(1, n - 1)))
 
 
 def folded(column: pa.Array) -> pa.Array:
@@ -67,28 +71,32 @@ def _bits(hashes: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
 
 def item_words(items: DataFrame) -> DataFrame:
     """(item_id, words array<long>) of (item_id, text)."""
+    kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words, at = word_hashes(*text_buffers(folded(part.column("text"))), _KEEP)
             yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(words.view(np.int64)))], ["item_id", "words"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(trimmed(run), "item_id long, words array<long>")
+    return items.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), f"item_id {kind}, words array<long>")
 
 
 def item_seeds(words: DataFrame, min_words: int) -> DataFrame:
-    """(seed, item_id, item_pos) of (item_id, words)."""
+    """(seed, item_id, item_pos, item_words) of (item_id, words)."""
+    kind = words.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(own) < min_words:
+            for row, own in enumerate(batch.column(1).to_pylist()):
+                if len(own) < max(1, min_words):
                     continue
                 found = [h for _, h in seeds(np.array(own, np.int64).view(np.uint64), masks_for(len(own)))]
                 at = np.concatenate([np.arange(len(h), dtype=np.int32) for h in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array([key] * len(at), pa.int64()), pa.array(at)], ["seed", "item_id", "item_pos"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(pa.array([row] * len(at), pa.int32())), pa.array(at), pa.array(np.full(len(at), len(own), np.int32)),
+                ], ["seed", "item_id", "item_pos", "item_words"])
 
-    return words.select("item_id", "words").mapInArrow(trimmed(run), "seed long, item_id long, item_pos int").distinct()
+    return words.select("item_id", "words").mapInArrow(trimmed(run), f"seed long, item_id {kind}, item_pos int, item_words int").distinct()
 
 
 def bloom(seed_table: DataFrame, n: int, max_log2: int = 27, bits_each: int = 512) -> tuple[np.ndarray, int]:
@@ -114,6 +122,7 @@ def bloom(seed_table: DataFrame, n: int, max_log2: int = 27, bits_each: int = 51
 def segments(docs: DataFrame, filter_bits, log2: int, masks: tuple[str, ...], reach: int) -> DataFrame:
     """(doc_id, words, hits array<struct<seed, pos>>): stretches of texts with possible hits, and reach words around them."""
     span = max(map(len, masks), default=1)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = filter_bits.value
@@ -152,48 +161,34 @@ def segments(docs: DataFrame, filter_bits, log2: int, masks: tuple[str, ...], re
                 part.column("doc_id").take(pa.array(row[new])), pa.ListArray.from_arrays(edges, pa.array(words[spread].view(np.int64))), pa.ListArray.from_arrays(own, hits),
             ], ["doc_id", "words", "hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, words array<long>, hits array<struct<seed:long,pos:int>>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, words array<long>, hits array<struct<seed:long,pos:int>>")
 
 
-def find_contamination(
-    docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_words: int = 5, reach: int = 64,
-) -> DataFrame:
-    """One row a document and benchmark item found in it: doc_id, item_id, matched_words, item_words (those compared)."""
+def find_contamination(docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_words: int = 1) -> DataFrame:
+    """One row a document and benchmark item found in it: doc_id, item_id, matched_words, item_words.
+
+    min_words: items with fewer words are left out, by choice of the caller; by default none is.
+    """
     spark = docs.sparkSession
     known = stored(item_words(items), "items")
-    lengths = [r.n for r in known.select(F.least(F.size("words"), F.lit(max(MASKS))).alias("n")).where(F.col("n") >= min_words).distinct().collect()]
-    masks = tuple(sorted({m for n in lengths for m in masks_for(n)}))
+    size = F.size("words")
+    sizes = known.agg(F.max(size).alias("longest"), F.collect_set(F.least(size, F.lit(max(MASKS)))).alias("lengths")).first()
+    masks = tuple(sorted({m for n in sizes.lengths if n >= max(1, min_words) for m in masks_for(n)}))
     table = stored(item_seeds(known, min_words), "seeds")
     whole, log2 = bloom(table, table.count())
     # A stretch is known by its document and words, so equal stretches of repeated rows are one.
-    parts = stored(segments(docs, spark.sparkContext.broadcast(whole), log2, masks, reach).withColumn("segment", F.xxhash64("doc_id", "words")), "segments")
+    parts = stored(segments(docs, spark.sparkContext.broadcast(whole), log2, masks, max(1, sizes.longest or 0)).withColumn("segment", F.xxhash64("doc_id", "words")), "segments")
     hits = parts.select("segment", F.explode("hits").alias("hit")).select("segment", F.col("hit.seed").alias("seed"), F.col("hit.pos").alias("pos"))
-    aligned = hits.join(table, "seed").select("segment", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos")
-    placed = aligned.groupBy("segment", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"))
-    pairs = placed.join(parts.dropDuplicates(["segment"]).select("segment", "doc_id", "words"), "segment").join(known.withColumnRenamed("words", "item"), "item_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            text, item = batch.column("words"), batch.column("item")
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shift")]
-            for k, (doc, key, shift) in enumerate(zip(*columns)):
-                own, there, at = item[k].values.to_numpy(), text[k].values.to_numpy(), batch.column("at")[k].values.to_numpy()
-                begin, end = max(0, -shift), min(len(own), len(there) - shift)
-                sums = np.zeros(len(own) + 1, np.int64)
-                if begin < end:
-                    sums[begin + 1 : end + 1] = own[begin:end] == there[begin + shift : end + shift]
-                sums = np.cumsum(sums)
-                low = np.maximum(0, np.append(at, at.min()) - reach)
-                high = np.minimum(len(own), np.append(at, at.max()) + reach)
-                same, size = sums[high] - sums[low], high - low
-                best = np.lexsort((same, same / size))[-1]
-                if same[best] >= similarity * size[best]:
-                    out.append((doc, key, int(same[best]), int(size[best])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "item_id", "matched_words", "item_words"])
-
-    found = pairs.select("doc_id", "item_id", "shift", "at", "words", "item").mapInArrow(trimmed(verify), "doc_id long, item_id long, matched_words long, item_words long")
+    aligned = hits.join(table, "seed").select("segment", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_words").distinct()
+    pairs = aligned.join(parts.dropDuplicates(["segment"]).select("segment", "doc_id", "words"), "segment")
+    # Only the stretch that faces the item goes on, if enough of the item faces any text at all.
+    skipped = F.greatest(-F.col("shift"), F.lit(0))
+    pairs = pairs.select("doc_id", "item_id", skipped.alias("skipped"), F.expr("slice(words, greatest(shift, 0) + 1, item_words - greatest(-shift, 0))").alias("words"), "item_words")
+    pairs = pairs.where(size >= similarity * F.col("item_words")).join(known.select(F.col("item_id").alias("known_id"), F.col("words").alias("item")).distinct(), F.col("item_id").eqNullSafe(F.col("known_id")))
+    pairs = pairs.where(F.size("item") == F.col("item_words"))
+    facing = F.zip_with("words", F.expr("slice(item, skipped + 1, size(words))"), lambda a, b: F.when(a == b, 1))
+    found = pairs.select("doc_id", "item_id", F.size(F.array_compact(facing)).cast("long").alias("matched_words"), F.col("item_words").cast("long").alias("item_words"))
+    found = found.where(F.col("matched_words") >= similarity * F.col("item_words"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched_words") / F.col("item_words"), "matched_words", "item_words")).alias("best"))
     return best.select("doc_id", "item_id", "best.matched_words", "best.item_words")
 
@@ -204,7 +199,8 @@ def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 100_000) -> DataFrame:
     """Rows in whose text no benchmark item is found, whatever their ids. Up to broadcast_rows hashes of texts to drop are broadcast, more are joined by a shuffle."""
+    bad = fresh("bad_text", docs.columns)
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = stored(find_contamination(texts, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_text")).distinct(), "leaks")
+    found = stored(find_contamination(texts, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(bad)).distinct(), "leaks")
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    return docs.join(found, F.xxhash64("text") == F.col("bad_text"), "left_anti").select(docs.columns)
+    return docs.join(found, F.xxhash64("text") == F.col(bad), "left_anti").select(docs.columns)
