@@ -55,11 +55,84 @@ def test_short_and_plain_pages():
 def test_ratio_smoothing_is_a_gaussian_mean():
     import numpy as np
 
-    lines = [("x" * n, 1, 0, False, ()) for n in (10, 0, 0, 50, 3)]
+    lines = [("x" * n, 1, 0, False, 0) for n in (10, 0, 0, 50, 3)]
     w = np.exp(-0.5 * (np.subtract.outer(np.arange(5), np.arange(5)) / 1.0) ** 2) * (np.abs(np.subtract.outer(np.arange(5), np.arange(5))) <= 3)
     assert np.allclose(H.ratios(lines, 1.0), w @ [10, 0, 0, 50, 3] / w.sum(axis=1))
 
 
+def test_names_are_hints_only():
+    half = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = "\n\n".join([LONG.strip()] * 2)
+    for name in ("survey-results", "widget", "related search"):
+        body = f"<article>{half}<div class='{name}'>{half}</div></article>"
+        assert H.main_text(page(body)) == f"{want}\n\n{want}"
+    assert H.main_text(page(f"<article><h2 class='form'>Shape</h2>{half}</article>")) == f"Shape\n\n{want}"
+    assert H.main_text(page(f"<article>{half}{half}<div class='cookie-notice'><p>{LONG}</p></div></article>")) == f"{want}\n\n{want}"
+    assert H.main_text(page(f"<article>{half}</article><div id='comments'>{half * 5}</div>")) == want
+    assert [H.name_hint(x) for x in ("", "survey-results", "share-buttons", "cookieNotice", "commentList", "has-sidebar")] == [0, 0, 1, 1, 2, 0]
+
+
+def test_every_article_and_linked_paragraphs_stay():
+    one, two = f"<p>{LONG}</p>", f"<p>{LONG[:120]}</p>"
+    assert H.main_text(page(f"{NAV}<article>{one}{two}</article><article>{one}<p>b</p></article>")) == "\n\n".join([LONG.strip(), LONG[:120].strip(), LONG.strip(), "b"])
+    linked = f"<p><a href='/x'>{LONG}</a></p>"
+    for body in (f"<div>{one}{linked}{one}</div>", f"<article>{one}{linked}{one}</article>"):
+        assert H.main_text(page(NAV + body + FOOT)) == "\n\n".join([LONG.strip()] * 3)
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul>"
+    assert H.main_text(page(f"<div>{menu}<h1>T</h1><p><a href='/me'>An author</a></p>{one * 4}{menu}</div>")) == "\n\n".join(["T", "An author", *[LONG.strip()] * 4])
+
+
+def test_time_is_linear_in_nesting():
+    import time
+
+    def took(n):
+        begin = time.process_time()
+        assert H.main_text("<div>" * n + "deep" + "</ul></div>" * n) == "deep"
+        return time.process_time() - begin
+
+    took(1000)
+    assert took(40_000) < 30 * took(4_000) + 0.5
+
+
+def plain(html):
+    """The article's blocks of a simply built page, found by expressions only."""
+    import html as names
+    import re
+
+    body = re.search(r"<article>(.*?)(</article>|<footer|$)", re.sub(r"<!--.*?-->", "", html, flags=re.S), re.S)[1]
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section)\b[^>]*>", body)
+    texts = (" ".join(names.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in blocks)
+    return "\n\n".join(x for x in texts if x)
+
+
+def test_query_over_the_whole_table_as_by_plain_expressions(spark):
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = H.op5_html_main_text(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.text == plain(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_ratios_and_clusters_of_whole_pages(spark):
+    """Ratio, smoothing and threshold again, a line at a time."""
+    import math
+
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        parser = H._Lines()
+        parser.feed(r.html)
+        parser.close()
+        raw = [0.0 if out else (len(text) - links) / tags for text, tags, links, out, _ in parser.lines]
+        smooth = []
+        for k in range(len(raw)):
+            near = [(math.exp(-0.5 * (j - k) ** 2), raw[j]) for j in range(len(raw)) if abs(j - k) <= 3]
+            smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        usable = [k for k, line in enumerate(parser.lines) if not line[3]]
+        least = min(sum(smooth) / len(smooth), max(smooth[k] for k in usable) / 2)
+        got = H.ratios(parser.lines, 1.0)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, smooth))
+        assert H.clusters(got, usable) == [k for k in usable if got[k] >= least - 1e-9]
+
+
 def test_table(spark):
     rows = [(1, "u", page(f"<article>{ARTICLE}</article>"), "e"), (1, "u", page(f"<article>{ARTICLE}</article>"), "e"), (2, None, None, "e"), (3, "u", "", None), (None, "u", "<p>" + "word " * 100_000, "e")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
