@@ -147,7 +147,7 @@ def test_links_equal_brute_force(spark, block):
 
 def test_windows_reach_the_recall():
     p = E.CollisionParams()
-    _, width, least = p.windows(64)
+    width, least = p.windows(64)
     rng = np.random.default_rng(0)
     found = 0
     directions = p.directions(64)
@@ -161,6 +161,39 @@ def test_windows_reach_the_recall():
     assert found >= 3990
 
 
+def at_threshold(rng, n, cosine, dims=64):
+    a = rng.standard_normal((n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n, dims))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cuts", [0, 1, 4, 7])
+def test_tables_reach_the_recall(cuts):
+    p = E.CollisionParams()
+    a, b = at_threshold(np.random.default_rng(2), 6000, 0.93)
+    met = (p.cells(a, cuts) == p.cells(b, cuts)).any(axis=1).mean()
+    assert met >= p.recall - 0.002 and p.cells(a, cuts).max() < 1 << cuts
+
+
+def test_one_hot_label_in_many_cells(spark):
+    """Pairs just above the threshold, a large group of like vectors, and the rest apart: recall against brute force."""
+    rng = np.random.default_rng(5)
+    a, b = at_threshold(rng, 900, 0.932)
+    like = rng.standard_normal(64) + rng.standard_normal((300, 64)) * 0.2
+    x = np.concatenate([a, b, like, rng.standard_normal((400, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in E.near_duplicates(df, E.CollisionParams(cell=40, block=64)).collect()}
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.998 * near.sum()
+    pairs = links[:1800]
+    assert pairs.sum() >= 0.99 * near[:1800].sum()
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert E.near_duplicates(df).count() == 0
