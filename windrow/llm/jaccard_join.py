@@ -13,6 +13,10 @@ at least spare + 1 signatures. Each set leaves out its `spare` least telling one
 order that depends on a signature's contents only: the best that a linked pair shares is among what both keep. Thus the
 empty and near-empty subsets on which unlike sets agree are not sent, and no link is lost.
 
+Before any shingles are fetched, sketches rule candidate pairs out: a set's sketch has a bit for each cell of a hashed domain of
+at least as many cells as shingles, the parity of those that fall there. Two sketches differ in no more bits than the sets
+in shingles, so a pair whose sketches differ in too many is surely not similar.
+
 Signatures are shuffled once, packed by bucket, one set of a batch for each signature; the other sets of the batch with it
 are written beside, so that a signature that a third of all sets share is one row a batch and not one a set. The sets of
 a signature share its smallest key as a centre; each
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrow.llm.common import components, drop_stored, gram_hashes, mix, read, release, slices, stored, text_buffers, trim, trimmed, word_hashes
@@ -120,17 +124,42 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(numbers), np.concatenate(found)
 
 
+def sketches(sets: list[np.ndarray]) -> pa.ListArray:
+    """The parity bits of each set, as 64-bit words: the least power of two of them with a bit for each element."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words = np.int64(1) << np.ceil(np.log2(np.maximum(1, sizes / 64))).astype(np.int64)
+    ends = np.cumsum(words)
+    out = np.zeros(ends[-1], np.uint64)
+    if sizes.sum():
+        bit = (mix(np.concatenate(sets), 31) & np.repeat(words * 64 - 1, sizes).astype(np.uint64)).astype(np.int64)
+        np.bitwise_xor.at(out, np.repeat(ends - words, sizes) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(out.view(np.int64)))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) key pairs that sizes and sketches don't rule out; nodes: (key, n, sketch)."""
+    one, two = (nodes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"of_{c}")) for c in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def folded(x: str, y: str) -> Column:  # of two sizes a factor of two apart, the larger is folded
+        half = F.size(y)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    apart = F.aggregate(F.zip_with(folded("of_a", "of_b"), folded("of_b", "of_a"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, key) of every row; key is null for the empty set."""
+    """(doc_id, n_shingles, key, sketch) of every row; key is null for the empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(part, n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(set_keys(sets), mask=sizes == 0)], ["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(set_keys(sets), mask=sizes == 0), sketches(sets)], ["doc_id", "n_shingles", "key", "sketch"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles long, key long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles long, key long, sketch array<long>")
 
 
 def packed_signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
@@ -206,12 +235,16 @@ def shortened(found: np.ndarray, buckets: int) -> np.ndarray:
     return (bucket_of(found, buckets) << 32) + (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast where it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
     """(key, elements) of the wanted (key, doc_id): their texts are shingled again; each key once."""
-    few = wanted.count() <= broadcast_rows
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+    ids = bounded(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), broadcast_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -231,12 +264,46 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def likely_in_blocks(percent: int):
+    """For one pair of blocks of (key, class, n, sketch): the pair, if sketches leave any pair of different classes."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        blocks, classes, n = (table.column(c).to_numpy() for c in ("block", "class", "n"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        column = table.column("sketch").combine_chunks()
+        ends = column.offsets.to_numpy()
+        flat, words = column.values.to_numpy().view(np.uint64), np.diff(ends)
+
+        def side(block: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+            rows = np.flatnonzero((blocks == block) & (words == size))
+            return rows, flat[ends[rows][:, None] + np.arange(size)]
+
+        found = False
+        for size in np.unique(words):
+            for other in (size, size * 2, size // 2):
+                one, left = side(low, size)
+                two, right = side(high, other) if other else (one[:0], left[:0])
+                if found or not len(one) or not len(two):
+                    continue
+                if other > size:
+                    right = right[:, :size] ^ right[:, size:]
+                elif other < size:
+                    left = left[:, :other] ^ left[:, other:]
+                apart = sum(np.bitwise_count(left[:, k, None] ^ right[None, :, k]).astype(np.int64) for k in range(left.shape[1]))
+                near = (100 + percent) * apart <= (100 - percent) * (n[one][:, None] + n[two])
+                found = bool((near & (classes[one][:, None] != classes[two])).any())
+        return table.select(["cluster", "low", "high"]).slice(0, int(found))
+
+    return compare
+
+
+def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Links between sets of different classes within the same cluster, compared block against block.
 
     members: (cluster, key, class). A class of more than half a block is cut by hash into blocks of its own, smaller classes
     are dealt to shared blocks by the class's hash, so blocks have about `block` sets; every pair of blocks
-    is one group, and gives fewer links than it has sets: enough to join what is linked.
+    is one group, and gives fewer links than it has sets: enough to join what is linked. Sets (key, elements) go only to those
+    pairs of blocks in which sketches (nodes: key, n, sketch) leave a pair.
     """
     half = block // 2
     sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"))
@@ -250,8 +317,13 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
     two = blocks.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
     same = (F.col("low_least") == F.col("low_most")) & (F.col("high_least") == F.col("high_most")) & (F.col("low_least") == F.col("high_least"))
     meet = one.join(two, "cluster").where((F.col("low") <= F.col("high")) & ~same).select("cluster", "low", "high")
-    sides = meet.select("cluster", "low", "high", F.col("low").alias("block")).union(meet.where("low <> high").select("cluster", "low", "high", F.col("high").alias("block")))
-    placed = numbered.join(sides, ["cluster", "block"])
+
+    def placed(meet: DataFrame, given: DataFrame) -> DataFrame:
+        sides = meet.withColumn("block", F.col("low")).union(meet.where("low <> high").withColumn("block", F.col("high")))
+        return numbered.join(sides, ["cluster", "block"]).join(given, "key")
+
+    first = placed(meet, nodes.select("key", "n", "sketch")).groupBy("cluster", "low", "high")
+    meet = stored(first.applyInArrow(likely_in_blocks(percent), "cluster long, low long, high long"), "meet")
 
     def compare(table: pa.Table) -> pa.Table:
         keys, classes, blocks = (table.column(c).to_numpy() for c in ("key", "class", "block"))
@@ -286,7 +358,7 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int =
                     links.append((int(keys[i]), int(keys[j])))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return placed.join(sets, "key").groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+    return placed(meet, sets).groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,7 +368,7 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(classes.join(found, "class", "left").select("key", F.coalesce("component", "class").alias("class")), "classes")
 
 
-def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 200_000, small: int = 32, centres: int = 3, per_bucket: int = 2_000_000) -> DataFrame:
+def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast_rows: int = 200_000, small: int = 32, centres: int = 2, per_bucket: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
 
     small: members up to which a bucket of several classes is compared pair by pair; centres: comparisons of a set
@@ -309,19 +381,28 @@ def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(256, int(total // per_bucket))
-    pairs = stored(shared_signatures(packed_signatures(docs, n, percent, buckets), buckets), "shared")
+    shared = stored(shared_signatures(packed_signatures(docs, n, percent, buckets), buckets), "shared")
     release(spark)
-    centre = pairs.groupBy("signature").agg(F.min("key").alias("centre"))
-    often = pairs.join(centre, "signature").where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
+    keys = shared.select("key").distinct()
+    wanted = stored(rows.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "wanted")
+
+    def exact(pairs: DataFrame, label: str) -> DataFrame:
+        """The linked ones of the (a, b) pairs: sketches first, then the sets of those that are left."""
+        few = stored(likely(pairs, wanted, percent), f"{label}-likely")
+        of = few.select(F.col("a").alias("key")).union(few.select("b")).distinct()
+        sets = stored(sets_of(docs, wanted.join(of, "key").select("key", "doc_id"), n, broadcast_rows), f"{label}-sets")
+        links = stored(linked_pairs(few, sets, percent), label)
+        for table in (few, sets):
+            drop_stored(table)
+        return links
+
+    centre = shared.groupBy("signature").agg(F.min("key").alias("centre"))
+    often = shared.join(centre, "signature").where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
     star = stored(often.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("rank") <= centres).select("a", "b"), "star")
-    buckets = pairs
-    wanted = stored(nodes.join(buckets.select("key").distinct(), "key").select("key", "doc_id"), "wanted")
-    sets = stored(sets_of(docs, wanted, n, broadcast_rows), "elements")
-    links = stored(linked_pairs(star, sets, percent), "links")
-    release(spark)
+    links = exact(star, "links")
     classes = merged(wanted.select("key", F.col("key").alias("class")), links)
 
-    placed = buckets.select("signature", "key").distinct().join(classes, "key")
+    placed = shared.join(bounded(classes, broadcast_rows), "key")
     # A bucket is known by its members, so the many signatures of the same few sets are one bucket.
     mixed = placed.groupBy("signature").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.min("class").alias("low"), F.max("class").alias("high"),
@@ -331,22 +412,22 @@ def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     many = rest.where(F.col("n") > small)
     chain = many.join(many.groupBy("bucket").agg(F.min("key").alias("a")), "bucket").select("a", F.col("key").alias("b"))
     clusters = stored(components(chain).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "clusters")
-    more = stored(block_links(clusters.join(classes, "key"), sets, percent), "more")
-    release(spark)
+    held = stored(sets_of(docs, wanted.join(clusters.select("key"), "key").select("key", "doc_id"), n, broadcast_rows), "held")
+    more = stored(block_links(clusters.join(classes, "key"), held, wanted, percent), "more")
     classes = merged(classes, more)
 
     few = rest.where(F.col("n") <= small).join(classes, "key").join(clusters, "key", "left").select("bucket", "key", "class", F.coalesce("cluster", "key").alias("cluster"))
     one, two = ([F.col(c).alias(f"{c}_{side}") for c in ("key", "class", "cluster")] for side in ("a", "b"))
     pairs = few.select("bucket", *one).join(few.select("bucket", *two), "bucket").where("key_a < key_b and class_a <> class_b and cluster_a <> cluster_b")
     pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-    last = stored(linked_pairs(pairs.join(star, ["a", "b"], "left_anti"), sets, percent), "last")
+    last = exact(pairs.join(star, ["a", "b"], "left_anti"), "last")
     release(spark)
     classes = merged(classes, last)
 
     top = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
     names = top.groupBy("root").agg(F.min("doc_id").alias("name"), F.sum("copies").alias("size")).where("size > 1")
     known = stored(top.select("key", "root").join(names, "root").select("key", "name"), "known")
-    for table in (buckets, star, wanted, sets, links, rest, clusters, more, last, classes):
+    for table in (shared, star, wanted, links, rest, clusters, held, more, last, classes):
         drop_stored(table)
     release(spark)
     return rows.join(known, "key", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
