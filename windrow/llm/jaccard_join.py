@@ -407,16 +407,19 @@ def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
     mixed = placed.groupBy("signature").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.min("class").alias("low"), F.max("class").alias("high"),
     ).where("low <> high").groupBy("n", "h").agg(F.min("signature").alias("signature"))
-    rest = stored(placed.join(mixed, "signature").select(F.col("signature").alias("bucket"), "key", "n"), "mixed")
+    rest = stored(placed.join(mixed, "signature").select(F.col("signature").alias("bucket"), "key", "class", "n"), "mixed")
     release(spark)
     many = rest.where(F.col("n") > small)
-    chain = many.join(many.groupBy("bucket").agg(F.min("key").alias("a")), "bucket").select("a", F.col("key").alias("b"))
-    clusters = stored(components(chain).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "clusters")
+    # Classes that meet in a large bucket make a cluster; a class has one row a bucket, however many of its sets are there.
+    seats = many.select("bucket", "class").distinct()
+    chain = seats.join(seats.groupBy("bucket").agg(F.min("class").alias("a")), "bucket").select("a", F.col("class").alias("b"))
+    joined = components(chain).select(F.col("id").alias("class"), F.col("component").alias("cluster"))
+    clusters = stored(many.select("key", "class").distinct().join(joined, "class").select("key", "cluster"), "clusters")
     held = stored(sets_of(docs, wanted.join(clusters.select("key"), "key").select("key", "doc_id"), n, broadcast_rows), "held")
     more = stored(block_links(clusters.join(classes, "key"), held, wanted, percent), "more")
     classes = merged(classes, more)
 
-    few = rest.where(F.col("n") <= small).join(classes, "key").join(clusters, "key", "left").select("bucket", "key", "class", F.coalesce("cluster", "key").alias("cluster"))
+    few = rest.where(F.col("n") <= small).drop("class").join(classes, "key").join(clusters, "key", "left").select("bucket", "key", "class", F.coalesce("cluster", "key").alias("cluster"))
     one, two = ([F.col(c).alias(f"{c}_{side}") for c in ("key", "class", "cluster")] for side in ("a", "b"))
     pairs = few.select("bucket", *one).join(few.select("bucket", *two), "bucket").where("key_a < key_b and class_a <> class_b and cluster_a <> cluster_b")
     pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
