@@ -297,7 +297,7 @@ def likely_in_blocks(percent: int):
     return compare
 
 
-def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Links between sets of different classes within the same cluster, compared block against block.
 
     members: (cluster, key, class). A class of more than half a block is cut by hash into blocks of its own, smaller classes
