@@ -134,3 +134,10 @@ def test_percent_and_paths(spark):
     r = spark.range(1).select(
         percent(F.lit(0.8284)).alias("p"), path_name(F.lit("/a/b/c.py")).alias("n"), path_parent(F.lit("/a/b/c.py")).alias("d"), html_escape(F.lit("<'\"&>")).alias("e")).first()
     assert (r.p, r.n, r.d, r.e) == ("82.84", "c.py", "/a/b", "&lt;&#39;&#34;&amp;&gt;")
+
+
+def test_truncated_context_keeps_head_and_tail():
+    five = "\n".join(f"L{i}" for i in range(5))
+    assert R._gap(five, False, 2) == "L0\nL1\nL2\n\n...\n\nL2\nL3\nL4"
+    four = "\n".join(f"L{i}" for i in range(4))
+    assert R._gap(four, True, 1) == "L2\nL3" and R._gap("one line", False, 2) == "one line"
