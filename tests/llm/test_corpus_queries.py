@@ -50,7 +50,7 @@ def test_scores(spark, name, folds, held):
 
 def test_pipeline_stages_agree_with_their_operators(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    from windrow.llm import decontaminate, jaccard_join, pii
+    from windrow.llm import common, decontaminate, jaccard_join, pii
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "packing"]
     stages = dict(corpus_pipeline.STAGES)
@@ -64,7 +64,7 @@ def test_pipeline_stages_agree_with_their_operators(spark):
     bad = {r.doc_id for r in decontaminate.find_contamination(single, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     clean = stages["decontamination"](spark, single, DATA)
     assert ids(clean) == [i for i in ids(single) if i not in bad]
-    masked = stages["pii"](spark, clean, DATA)
+    masked = common.stored(stages["pii"](spark, clean, DATA), "masked")
     assert masked.columns == docs.columns and ids(masked) == ids(clean)
     assert pii.find_pii(masked).where("size(pii) > 0").count() == 0
     assert masked.where("n_chars <> char_length(text)").count() == 0
