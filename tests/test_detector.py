@@ -89,6 +89,12 @@ def test_undecodable_and_detected_files(spark, tmp_path):
     assert S.decode("hällo".encode("latin-1"), "DETECT") == ("hällo", None)
 
 
+def test_unknown_extensions_are_named(spark, caplog):
+    docs = S.from_texts(spark, [("a.py", CODE), ("b.nosuchkind", "plain words")])
+    Detector(spark, Config(noise_t=10, guarantee_t=10, silent=True), documents=docs).run()
+    assert "No tokenizer for b.nosuchkind" in caplog.text and "a.py" not in caplog.text
+
+
 def test_directory_source(spark, tree):
     from windrow.sources.directory import register
 

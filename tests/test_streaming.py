@@ -1,3 +1,5 @@
+import pytest
+
 from windrow.streaming.ingest import watch
 
 
@@ -11,6 +13,9 @@ def test_new_documents_meet_the_index(spark, tmp_path):
     found = {(r.x, r.y) for r in spark.read.parquet(paths[1]).collect()}
     assert found == {(3, 1)}
     assert spark.read.parquet(paths[0]).select("doc_id").distinct().count() == 3
+    spark.createDataFrame([(4, text)], "doc_id long, text string").write.mode("append").parquet(str(source))
+    with pytest.raises(Exception, match="another k or window"):
+        watch(spark.readStream.schema("doc_id long, text string").parquet(str(source)), *paths, k=11).awaitTermination(120)
 
 
 def test_sql_functions(spark):

@@ -137,6 +137,10 @@ class Detector:
         """Computes pairs once; without documents it only logs so."""
         if self.documents.where("is_test").isEmpty() or self.documents.where("is_ref").isEmpty():
             log.error("No documents to compare")
+        if not self.config.disable_filtering:
+            unknown = self.documents.where("language is null")
+            for r in unknown.select("path").orderBy("path").limit(20).collect():
+                log.warning("No tokenizer for %s: its text is compared as it is", r.path)
         self.pairs = self.pairs.persist(StorageLevel.MEMORY_AND_DISK)
         if not self.config.silent:
             log.info("%d pairs share fingerprints", self.pairs.count())
