@@ -378,13 +378,15 @@ def similarity_classes(docs: DataFrame, n: int = 4, percent: int = 85, broadcast
         raise ValueError("percent must be from 70 to 100: below, similar sets may lie two bands apart")
     spark = docs.sparkSession
     rows = stored(document_sets(docs, n), "sets")
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    named = rows.where("key is not null").groupBy("key")
+    nodes = named.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(256, int(total // per_bucket))
     shared = stored(shared_signatures(packed_signatures(docs, n, percent, buckets), buckets), "shared")
     release(spark)
-    keys = shared.select("key").distinct()
-    wanted = stored(rows.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "wanted")
+    # Copies are aggregated before the join, so that the many rows of one set don't meet in one task.
+    sketched = named.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    wanted = stored(sketched.join(shared.select("key").distinct(), "key"), "wanted")
 
     def exact(pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of the (a, b) pairs: sketches first, then the sets of those that are left."""
