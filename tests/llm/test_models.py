@@ -113,6 +113,44 @@ def test_toxicity_score_equals_a_plain_sum(spark, corpus):
         assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
 
 
+def test_ftrl_minimises_its_regularised_sum():
+    """Weights are found anew for each row by bisection over the sum that FTRL-proximal minimises, from all past steps."""
+    p = T.FtrlParams(bits=4, alpha=0.7, beta=1.3, l1=2.0, l2=0.05, epochs=3)  # so much L1 that some weights are zero
+    draw = np.random.default_rng(11)
+    rows = [(int(k % 3 == 0), np.unique(draw.integers(0, 12, 5))) for k in range(30)]
+    past = {}  # coordinate (-1: intercept) to its (gradient, sigma, weight) steps
+
+    def best(i):
+        l1, l2 = (0.0, 0.0) if i < 0 else (p.l1, p.l2)
+        steps = past.get(i, [])
+
+        def slope(w):
+            return sum(g + s * (w - v) for g, s, v in steps) + (p.beta / p.alpha + l2) * w
+
+        if abs(slope(0.0)) <= l1:
+            return 0.0
+        low, high = -50.0, 50.0
+        for _ in range(80):
+            w = (low + high) / 2
+            low, high = (low, w) if slope(w) + l1 * np.sign(w) > 0 else (w, high)
+        return (low + high) / 2
+
+    order = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            label, features = rows[k]
+            now = {i: best(i) for i in [-1, *features.tolist()]}
+            g = 1 / (1 + np.exp(-sum(now.values()))) - label
+            for i, w in now.items():
+                n = sum(h * h for h, _, _ in past.get(i, []))
+                past.setdefault(i, []).append((g, (np.sqrt(n + g * g) - np.sqrt(n)) / p.alpha, w))
+    expected = {i: best(i) for i in past}
+    used, weights, intercept = T.ftrl(rows, p)
+    assert 0 < len(used) < 12 and set(used.tolist()) == {i for i, w in expected.items() if i >= 0 and w}
+    np.testing.assert_allclose(weights, [expected[i] for i in used.tolist()], atol=1e-8)
+    assert abs(intercept - expected[-1]) < 1e-8
+
+
 def test_no_labels(spark, corpus):
     model = T.fit_toxicity(corpus, Q.clean_labels(corpus.limit(0), "toxic"))
     assert T.score_toxicity(corpus, model).first().score == 0.5
