@@ -59,6 +59,34 @@ def test_plan_places_every_piece_within_capacities(counts, by, limits):
         assert len(held) <= 11 / 9 * max(-(-total // tokens), 1) + sum(v for k, v in counts.items() if 2 * k > tokens) + 1
 
 
+def one_by_one(counts, limit):
+    """Sequences that vector best fit opens where every piece by itself, longest first, looks at all open ones."""
+    size, weight = np.array([limit.tokens, limit.documents, limit.attention], float), np.array(limit.weights)
+    open_ = np.zeros((0, 3))
+    for length in sorted(counts, reverse=True):
+        asked = np.array([length, 1, length * length], float)
+        for _ in range(counts[length]):
+            fits = np.flatnonzero((open_ >= asked).all(axis=1))
+            if not len(fits):
+                open_ = np.vstack([open_, size - asked])
+                continue
+            rest = open_[fits] / size
+            rank = -(rest * asked / size * weight).sum(axis=1) if limit.by == "dot" else ((rest - asked / size) ** 2 * weight).sum(axis=1)
+            open_[fits[np.argmin(rank)]] -= asked
+    return len(open_)
+
+
+@pytest.mark.parametrize("by", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(1024, 1024, 1 << 20), (1024, 4, 1 << 20), (1024, 1024, 400_000)])
+def test_as_few_sequences_as_piece_by_piece(by, limits):
+    draw = np.random.default_rng(5)
+    lengths, n = np.unique(np.minimum(draw.lognormal(5, 1, 1500).astype(int) + 2, 600), return_counts=True)
+    counts, limit = dict(zip(lengths.tolist(), n.tolist())), P.Capacities(*limits, by=by)
+    runs = P.plan(counts, limit)
+    made = max(first + -(-n // each) for _, _, n, each, first, _ in runs.tolist())
+    assert made <= 1.02 * one_by_one(counts, limit) + 1
+
+
 def test_table(spark):
     rows = [(i, "word%d " % (i % 7) * (i * 37 % 900), "x") for i in range(60)] + [(5, "again", "x"), (5, "again", "x"), (None, "no id", "x"), (70, None, None), (71, "", "x"), (72, "long " * 60_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, length string")
