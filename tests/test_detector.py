@@ -122,6 +122,20 @@ def test_tokens():
     assert text == "V=1V=2" and offsets[0] == (0, 0) and [p for p, _ in offsets[1:]] == sorted(p for p, _ in offsets[1:])
 
 
+@pytest.mark.parametrize("name, code, expected", [
+    ("a.c", "/* sum */\nint add(int a, int b) {\n  return a + b; // both\n}\n", "intF(intV,intV){returnV+V;}"),
+    ("a.java", "class Box {\n  int get(int n) { return n + 1; }\n}\n", "classO{intF(intV){returnV+1;}}"),
+    ("a.php", "<?php\nfunction twice($n) {\n  return $n * 2; # double\n}\n?>\n", "PfunctionF(V){returnV*2;}P\n"),  # what is outside of PHP stays
+])
+def test_tokens_of_other_languages(name, code, expected):
+    text, offsets, _ = normalise(code, name)
+    assert text == expected
+    for mark in "FO":  # a renamed token's own row, before that of white space after it, leads to its start in the raw text
+        for p in (i for i, c in enumerate(text) if c == mark):
+            raw = p + next(removed for at, removed in offsets if at == p)
+            assert code[raw:].startswith({"F": {"a.c": "add", "a.java": "get", "a.php": "twice"}[name], "O": "Box"}[mark])
+
+
 def test_config(tmp_path):
     c = Config.from_dict({"test_directories": ["t"], "noise_threshold": 10.0, "guarantee_threshold": 15, "disable_autoopen": True, "out_file": str(tmp_path), "css": ["a.css"]})
     assert (c.noise_t, c.window_size, c.autoopen, c.ref_dirs, c.out_file, c.css_files) == (10, 6, False, ["t"], str(tmp_path / "report.html"), ["a.css"])
