@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from windrow.llm import embedding_dedup as E
 from windrow.llm import jaccard_join as J
@@ -110,6 +111,28 @@ def test_stage_decides_by_row(spark, limit):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("options", [{}, {"parts": 3, "least": 1, "most_bytes": 4_000}])
+def test_clusters_have_few_blocks_and_lose_no_link(spark, monkeypatch, options):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 60 - i % 13], rng.integers(0, 2**63, i % 29, np.uint64)])) for i in range(5_000 if not options else 120)]
+    if not options:  # most are alike in one part only
+        sets[100:] = [np.unique(np.concatenate([s[:4], rng.integers(0, 2**63, 20, np.uint64)])) for s in sets[100:]]
+    keys = np.arange(len(sets)) - 50
+    rows = [(int(k), len(s), s.tolist(), d) for k, s, d in zip(keys, sets, J.sketches(sets).to_pylist())]
+    given = spark.createDataFrame(rows, "key long, n long, elements array<long>, sketch array<long>").coalesce(4).persist()
+    tables = {}
+    kept = J.stored
+    monkeypatch.setattr(J, "stored", lambda df, label, *a: tables.setdefault(label, kept(df, label, *a)))
+    members = given.select(F.lit(1).cast("long").alias("cluster"), "key", F.col("key").alias("class"))
+    links = [(r.a + 50, r.b + 50) for r in J.block_links(members, given.select("key", "elements"), given, 80, **options).collect()]
+    near = [(a, b) for a in range(120) for b in range(a) for n in [len(np.intersect1d(sets[a], sets[b]))] if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert near and classes(len(sets), links) == classes(len(sets), near)
+    if not options:
+        assert tables["numbered"].select("block").distinct().count() <= 8
+        assert tables["meet"].count() < 1_000
+
+
 def vectors(seed):
     rng = np.random.default_rng(seed)
     rows = []

@@ -22,7 +22,7 @@ are written beside, so that a signature that a third of all sets share is one ro
 a signature share its smallest key as a centre; each
 set is compared with the centres it shares most signatures with, exactly, and linked classes come from those links: groups
 of thousands of copies or near copies cost a few comparisons a member. Where a signature then still holds several classes,
-no pair of them is left out: large ones that overlap make a cluster, which is compared in blocks (all members of a block
+no pair of them is left out: large ones that overlap make a cluster, which is compared in a bounded number of blocks (those
 of one class are skipped), each giving links enough to join what is linked; pairs of small ones that
 neither a centre nor a cluster covers are compared one by one, each once.
 
@@ -264,51 +264,108 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
+def near_tiles(table: pa.Table, labels: np.ndarray, ends: np.ndarray, flat: np.ndarray, percent: int, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of block low, rows of block high, near) by tiles: pairs of different labels that sizes and sketches don't rule out.
+
+    ends, flat: the rows' sketches. The caller may change labels between tiles. Within one block each pair comes once.
+    """
+    blocks, n = table.column("block").to_numpy(), table.column("n").to_numpy()
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    words = np.diff(ends)
+
+    def side(block: int, size: int) -> list[np.ndarray]:
+        rows = np.flatnonzero((blocks == block) & (words == size))
+        return [rows[i : i + tile] for i in range(0, len(rows), tile)]
+
+    for size in np.unique(words):
+        for other in {size, size * 2, size // 2} - {0}:
+            for one in side(low, size):
+                left = flat[ends[one][:, None] + np.arange(size)]
+                if other < size:  # of two sizes a factor of two apart, the larger is folded
+                    left = left[:, :other] ^ left[:, other:]
+                for two in side(high, other):
+                    near = labels[one][:, None] != labels[two]
+                    if low == high:
+                        near &= one[:, None] < two
+                    near &= 100 * np.minimum(n[one][:, None], n[two]) >= percent * np.maximum(n[one][:, None], n[two])
+                    if not near.any():
+                        continue
+                    right = flat[ends[two][:, None] + np.arange(other)]
+                    if other > size:
+                        right = right[:, :size] ^ right[:, size:]
+                    apart = np.zeros(near.shape, np.int64)
+                    for k in range(left.shape[1]):
+                        apart += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
+                    near &= (100 + percent) * apart <= (100 - percent) * (n[one][:, None] + n[two])
+                    if near.any():
+                        yield one, two, near
+
+
 def likely_in_blocks(percent: int):
-    """For one pair of blocks of (key, class, n, sketch): the pair, if sketches leave any pair of different classes."""
+    """For one pair of blocks of (key, class, n, sketch): the rows that sketches leave a partner of another class."""
 
     def compare(table: pa.Table) -> pa.Table:
-        blocks, classes, n = (table.column(c).to_numpy() for c in ("block", "class", "n"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         column = table.column("sketch").combine_chunks()
+        labels, kept = table.column("class").to_numpy(), np.zeros(len(table), bool)
+        for one, two, near in near_tiles(table, labels, column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64), percent):
+            kept[one] |= near.any(axis=1)
+            kept[two] |= near.any(axis=0)
+        return table.select(["cluster", "low", "high", "block", "key", "class"]).filter(pa.array(kept))
+
+    return compare
+
+
+def links_in_blocks(percent: int):
+    """For one pair of blocks of (key, class, n, elements): links (a, b), enough to join what is linked, by exact comparison."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, labels = table.column("key").to_numpy(), table.column("class").to_numpy().copy()
+        column = table.column("elements").combine_chunks()
         ends = column.offsets.to_numpy()
-        flat, words = column.values.to_numpy().view(np.uint64), np.diff(ends)
-
-        def side(block: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-            rows = np.flatnonzero((blocks == block) & (words == size))
-            return rows, flat[ends[rows][:, None] + np.arange(size)]
-
-        found = False
-        for size in np.unique(words):
-            for other in (size, size * 2, size // 2):
-                one, left = side(low, size)
-                two, right = side(high, other) if other else (one[:0], left[:0])
-                if found or not len(one) or not len(two):
+        values, ends = column.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64), ends - ends[0]
+        sets = [values[s:e] for s, e in zip(ends[:-1], ends[1:])]
+        sizes = np.diff(ends).astype(np.int64)
+        sketch = sketches(sets)
+        links = []
+        for one, two, near in near_tiles(table, labels, sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint64), percent):
+            of = np.unique(np.concatenate([one[near.any(axis=1)], two[near.any(axis=0)]]))
+            numbers = np.unique(np.concatenate([sets[r] for r in of]), return_inverse=True)[1]
+            numbered = dict(zip(of.tolist(), np.split(numbers, np.cumsum(sizes[of])[:-1])))
+            mark = np.zeros(len(numbers), bool)
+            for i, partners in zip(one.tolist(), near):
+                if not partners.any():
                     continue
-                if other > size:
-                    right = right[:, :size] ^ right[:, size:]
-                elif other < size:
-                    left = left[:, :other] ^ left[:, other:]
-                apart = sum(np.bitwise_count(left[:, k, None] ^ right[None, :, k]).astype(np.int64) for k in range(left.shape[1]))
-                near = (100 + percent) * apart <= (100 - percent) * (n[one][:, None] + n[two])
-                found = bool((near & (classes[one][:, None] != classes[two])).any())
-        return table.select(["cluster", "low", "high"]).slice(0, int(found))
+                mark[numbered[i]] = True
+                for j in two[partners].tolist():
+                    if labels[i] != labels[j]:
+                        common = int(np.count_nonzero(mark[numbered[j]]))
+                        if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                            links.append((int(keys[i]), int(keys[j])))
+                            labels[labels == labels[j]] = labels[i]
+                mark[numbered[i]] = False
+        trim()
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return compare
 
 
-def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, parts: int = 8, least: int = 256, most_bytes: int = 16_000_000) -> DataFrame:
     """Links between sets of different classes within the same cluster, compared block against block.
 
-    members: (cluster, key, class). A class of more than half a block is cut by hash into blocks of its own, smaller classes
-    are dealt to shared blocks by the class's hash, so blocks have about `block` sets; every pair of blocks
-    is one group, and gives fewer links than it has sets: enough to join what is linked. Sets (key, elements) go only to those
-    pairs of blocks in which sketches (nodes: key, n, sketch) leave a pair.
+    members: (cluster, key, class). Every pair of blocks is one group, and a set is sent once for each block of its cluster. So
+    a cluster has about `parts` blocks however large it is: rows sent grow with the sets, and only comparisons with their
+    square. Fewer blocks do where they would have under `least` sets, more only where a block's sets would be over
+    `most_bytes`. A class of more than a block is cut by hash into blocks of its own, smaller classes are dealt to shared
+    blocks by the class's hash. Sets (key, elements) go only to those pairs of blocks in which sketches (nodes: key, n,
+    sketch) leave them a partner; a group gives fewer links than it has sets: enough to join what is linked.
     """
-    half = block // 2
-    sizes = members.groupBy("cluster", "class").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= half).groupBy("cluster").agg(F.ceil(F.sum("n") / half).alias("shares"))
-    large = sizes.where(F.col("n") > half).select("cluster", "class", F.ceil(F.col("n") / half).alias("cuts"))
+    weighed = members.join(nodes.select("key", (F.col("n") * 8 + 64).alias("w")), "key")
+    sizes = weighed.groupBy("cluster", "class").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    unit = F.least(F.lit(float(most_bytes)), F.greatest(F.sum("w") / parts, F.sum("w") / F.sum("n") * least))
+    units = sizes.groupBy("cluster").agg(unit.alias("unit"))
+    sizes = sizes.join(units, "cluster")
+    small = sizes.where("w <= unit").groupBy("cluster").agg(F.ceil(F.sum("w") / F.first("unit")).alias("shares"))
+    large = sizes.where("w > unit").select("cluster", "class", F.ceil(F.col("w") / F.col("unit")).alias("cuts"))
     name = F.when(F.col("cuts").isNotNull(), F.xxhash64("class", F.pmod(F.xxhash64("key"), "cuts"))).otherwise(F.pmod(F.xxhash64("class"), "shares"))
     numbered = members.join(large, ["cluster", "class"], "left").join(small, "cluster", "left")
     numbered = stored(numbered.select("cluster", "key", "class", name.alias("block")), "numbered")
@@ -317,48 +374,11 @@ def block_links(members: DataFrame, sets: DataFrame, nodes: DataFrame, percent:
     two = blocks.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
     same = (F.col("low_least") == F.col("low_most")) & (F.col("high_least") == F.col("high_most")) & (F.col("low_least") == F.col("high_least"))
     meet = one.join(two, "cluster").where((F.col("low") <= F.col("high")) & ~same).select("cluster", "low", "high")
-
-    def placed(meet: DataFrame, given: DataFrame) -> DataFrame:
-        sides = meet.withColumn("block", F.col("low")).union(meet.where("low <> high").withColumn("block", F.col("high")))
-        return numbered.join(sides, ["cluster", "block"]).join(given, "key")
-
-    first = placed(meet, nodes.select("key", "n", "sketch")).groupBy("cluster", "low", "high")
-    meet = stored(first.applyInArrow(likely_in_blocks(percent), "cluster long, low long, high long"), "meet")
-
-    def compare(table: pa.Table) -> pa.Table:
-        keys, classes, blocks = (table.column(c).to_numpy() for c in ("key", "class", "block"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        elements = table.column("elements").combine_chunks()
-        ends = elements.offsets.to_numpy()
-        values, ends = elements.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
-        sizes = np.diff(ends)
-        owner = np.repeat(np.arange(len(keys)), sizes)
-        leader = {c: c for c in classes.tolist()}
-
-        def top(c: int) -> int:
-            while leader[c] != c:
-                leader[c] = leader[leader[c]]
-                c = leader[c]
-            return c
-
-        order = np.argsort(values, kind="stable")
-        sorted_values, sorted_owner = values[order], owner[order]
-        left = np.searchsorted(sorted_values, values, "left")
-        right = np.searchsorted(sorted_values, values, "right")
-        links = []
-        for i in np.flatnonzero(blocks == low):
-            begin, n = left[ends[i] : ends[i + 1]], right[ends[i] : ends[i + 1]] - left[ends[i] : ends[i + 1]]
-            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(sorted_owner[at], minlength=len(keys))
-            near = (100 * common >= percent * (sizes + sizes[i] - common)) & (blocks == high) & (classes != classes[i])
-            for j in np.flatnonzero(near):
-                p, q = top(int(classes[i])), top(int(classes[j]))
-                if p != q:
-                    leader[max(p, q)] = min(p, q)
-                    links.append((int(keys[i]), int(keys[j])))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return placed(meet, sets).groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long")
+    sides = meet.withColumn("block", F.col("low")).union(meet.where("low <> high").withColumn("block", F.col("high")))
+    first = numbered.join(sides, ["cluster", "block"]).join(nodes.select("key", "n", "sketch"), "key").groupBy("cluster", "low", "high")
+    left = stored(first.applyInArrow(likely_in_blocks(percent), "cluster long, low long, high long, block long, key long, class long"), "meet")
+    second = left.join(sets.select("key", F.size("elements").cast("bigint").alias("n"), "elements"), "key").groupBy("cluster", "low", "high")
+    return second.applyInArrow(links_in_blocks(percent), "a long, b long")
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
