@@ -146,3 +146,28 @@ def test_truncated_context_keeps_head_and_tail():
     assert R._gap(five, False, 2) == "L0\nL1\nL2\n\n...\n\nL2\nL3\nL4"
     four = "\n".join(f"L{i}" for i in range(4))
     assert R._gap(four, True, 1) == "L2\nL3" and R._gap("one line", False, 2) == "one line"
+
+
+def test_grams_of_a_document_are_counted_where_it_is_read(spark):
+    rows = [(1, "abcabcabc"), (1, "xxabcx"), (None, "zzzzz"), (None, "azzz"), (2, "abcdabcd"), (3, "ab"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = {}
+    for i, text in rows:
+        for p in range(len(text or "") - 2):
+            want.setdefault((i, text[p : p + 3]), []).append(p)
+    found = {(r.doc_id, r.n, r.first_pos, r.last_pos): 0 for r in P.gram_positions(df, 3).collect()}
+    assert set(found) == {(i, len(p), min(p), max(p)) for (i, _), p in want.items()}
+    assert P.gram_positions(df, 3, broadcast_rows=0).count() == len(want)
+    single = df.where("doc_id > 1")
+    bp = P.boilerplate_hashes(docs(spark, "abc"), 3)
+    for made in (P.gram_positions(single, 3), P.fingerprint(single, 3, remove_duplicates=True)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pos for r in P.fingerprint(single, 3, boilerplate=bp, compat_boilerplate=True).collect()) == [2, 3, 5]
+    assert sorted(r.pos for r in P.fingerprint(single, 3, remove_duplicates=True).collect()) == [0, 1, 2, 3]
+
+
+def test_coverage_shuffles_runs(spark):
+    rows = fingerprint_rows(docs(spark, "abcdefgh" * 50, ONE), 3, 1)
+    assert P.runs(rows).count() == 2
+    mixed = spark.createDataFrame([(1, 5), (1, 0), (1, 1), (1, 5), (None, 3), (None, 9), (1, 4), (1, 30)], "doc_id int, pos int")
+    assert {(r.doc_id, r.coverage) for r in P.coverage(mixed, 3).collect()} == {(1, 4 + 4 + 3), (None, 6)}
