@@ -171,3 +171,28 @@ def test_coverage_shuffles_runs(spark):
     assert P.runs(rows).count() == 2
     mixed = spark.createDataFrame([(1, 5), (1, 0), (1, 1), (1, 5), (None, 3), (None, 9), (1, 4), (1, 30)], "doc_id int, pos int")
     assert {(r.doc_id, r.coverage) for r in P.coverage(mixed, 3).collect()} == {(1, 4 + 4 + 3), (None, 6)}
+
+
+def test_pairs_above_a_threshold(spark):
+    line = "this line is in all of them."
+    texts = [line + f"{i:03d}" * 40 for i in range(40)] + [line, line + "x", "y" + line] + [f"{i:03d}" * 30 for i in range(5)] + ["", "no"]
+    rows = fingerprint_rows(docs(spark, *texts), 3, 1)
+    want = {p: s for p, s in brute(texts, 3).items() if s[1] > 0.33}
+    got = {(r.x, r.y): (r.overlap, r.similarity) for r in C.pair_scores(rows, 3, above=0.33).collect()}
+    assert want.items() <= got.items() and want
+    who = about(spark, [(i, "ab"[i % 2], "l", True, True) for i in range(len(texts))])
+    for options in ({}, {"same_name_only": True}):
+        fast, slow = ({tuple(r) for r in R.flagged(C.pairwise(rows, who, 3, above=t, **options), 0.33).collect()} for t in (0.33, None))
+        assert fast == slow and fast
+    top = [{tuple(r) for r in R.top_matches(C.pairwise(rows, who, 3, best=b)).select("test", "ref", "test_sim").collect()} for b in (True, False)]
+    assert top[0] == top[1] and len(top[0]) > 40
+    meet = C.matched_above(C.shared_segments(rows), P.coverage(rows, 3), 3, 0.33).select("x", "y").distinct()
+    assert meet.where("x < 40 and y < 40").count() < 100 < 40 * 39
+
+
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_scores_against_others(spark, limit):
+    texts = [ONE, TWO, ONE, "nothing", "", ONE + TWO]
+    rows = fingerprint_rows(docs(spark, *texts), 3, 1)
+    got = C.scores_against(rows.where("doc_id < 3"), rows.where("doc_id >= 3"), 3, limit)
+    assert {(r.x, r.y): (r.overlap, r.similarity) for r in got.collect()} == {(x, y): s for (x, y), s in brute(texts, 3).items() if x < 3 <= y}
