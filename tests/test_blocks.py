@@ -84,7 +84,7 @@ def test_runs_cost_less_than_grams():
 
 
 #: Queries over all pairs: no row for each gram and none for each pair is dealt out.
-WHOLE = ["highlight_pct", "pair_slices", "shared_hash_counts", "conversation_similarity"]
+WHOLE = ["highlight_pct", "pair_slices", "shared_hash_counts", "conversation_similarity", "similarity_histogram"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
