@@ -57,6 +57,20 @@ def test_pairs_equal_brute_force(spark, docs, k, sizes, monkeypatch):
     scores = {p: len({q for s in at for q in range(s, s + k)}) for p, (at, _) in want.items()}
     assert {(r.x, r.y): (r.overlap, r.coverage, r.similarity) for r in texts.scores().collect()} == {p: (n, whole[p[0]], n / whole[p[0]]) for p, n in scores.items()}
     assert {(r.x, r.y): r.shared for r in texts.shared().collect()} == {p: n for p, (_, n) in want.items() if p[0] < p[1]}
+    like = {p: n / whole[p[0]] for p, n in scores.items()}
+    for above in (0.33, 0.7):
+        kept = {p: s for p, s in like.items() if s > above}
+        assert {(r.x, r.y): r.similarity for r in texts.similar(above).collect() if r.similarity > above} == kept
+        both = {(r.x, r.y): tuple(r)[2:] for r in texts.both_ways(above).collect() if r.similarity > above}
+        assert both == {(x, y): (scores[x, y], s, scores[y, x], like[y, x]) for (x, y), s in kept.items()}
+        lists = {(r.x, r.y): (r.similarity, [tuple(s) for s in r.slices]) for r in texts.similar_slices(above).collect() if r.similarity > above}
+        assert lists == {p: (s, [tuple(z) for z in merged(want[p][0], k)]) for p, s in kept.items()}
+    best, top = {}, {}
+    for (x, y), s in like.items():
+        best[x] = min(best.get(x, (0, 0)), (-round(s, 6), y))
+    for r in texts.best().collect():
+        top[r.x] = min(top.get(r.x, (0, 0)), (-round(r.similarity, 6), r.y))
+    assert top == best
     counts = {}
     for p, n in scores.items():
         counts[n / whole[p[0]]] = counts.get(n / whole[p[0]], 0) + 1
@@ -84,6 +98,7 @@ def test_runs_cost_less_than_grams():
 
 
 #: Queries over all pairs: no row for each gram and none for each pair is dealt out.
+FLAGGED = ["top_match_per_doc"]
 WHOLE = ["highlight_pct", "pair_slices", "shared_hash_counts", "conversation_similarity", "similarity_histogram"]
 
 
@@ -93,3 +108,10 @@ def test_no_gram_and_no_pair_is_shuffled(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString() + (physical := entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString())
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)", physical)
     assert keys and not [k for k in keys if re.search(r"\b(x|y|h|posting)#", k)], plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", FLAGGED)
+def test_no_gram_is_shuffled_for_flagged_pairs(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(([^)]*\b)?(h|posting)#", plan), plan
