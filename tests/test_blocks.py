@@ -98,7 +98,7 @@ def test_runs_cost_less_than_grams():
 
 
 #: Queries over all pairs: no row for each gram and none for each pair is dealt out.
-FLAGGED = ["top_match_per_doc", "pair_similarity", "flagged_summary", "highlight_report", "flagged_pairs_dedup", "same_name_pairs"]
+FLAGGED = ["top_match_per_doc", "pair_similarity", "flagged_summary", "highlight_report", "flagged_pairs_dedup", "same_name_pairs", "ignore_leaf_pairs"]
 WHOLE = ["highlight_pct", "pair_slices", "shared_hash_counts", "conversation_similarity", "similarity_histogram"]
 
 
